@@ -8,8 +8,9 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A-Z lower-cased, every other byte unchanged.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -48,12 +49,25 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def texts(df: DataFrame, *more: str) -> DataFrame:
+def texts(df: DataFrame, *more: Column) -> DataFrame:
     """doc_id and text (null: empty), and th, a text hash that tells apart rows that repeat a doc_id."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("th"), text.alias("text"), *more)
 
 
+def carried(df: DataFrame) -> list[Column]:
+    """The columns besides doc_id and text as one struct column named carried, if there are any: they go through an
+    operator untouched, whatever their names are."""
+    others = [c for c in df.columns if c not in ("doc_id", "text")]
+    return [F.struct(*(F.col(f"`{c}`") for c in others)).alias("carried")] if others else []
+
+
+def with_carried(schema: str, df: DataFrame) -> StructType:
+    """schema, and df's carried column if it has one."""
+    out = StructType.fromDDL(schema)
+    return out.add(df.schema["carried"]) if "carried" in df.columns else out
+
+
 def byte_rows(column: pa.Array, step: int = 256):
     """The rows of a string column as bytes, a few at a time."""
     column = column.cast(pa.binary())

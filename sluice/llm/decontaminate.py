@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import PLAIN, byte_rows, merged
+from sluice.llm.common import PLAIN, byte_rows, carried, merged, with_carried
 
 #: Windows in one search: bounds what is sent to the executors. Further windows are searched by further passes.
 WINDOWS_AT_ONCE = 20_000
@@ -80,7 +80,8 @@ def item_windows(benchmark: DataFrame, width: int) -> Iterator[dict[bytes, tuple
 def find_windows(documents: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """Each document with its number of words, spans of words inside occurring windows, and the items they belong to.
 
-    Null texts have no words; null ids and repeated rows stay as they are; an empty benchmark finds nothing.
+    Null texts have no words; null ids and repeated rows stay as they are; an empty benchmark finds nothing. Other
+    columns of documents come in the struct column carried.
     """
 
     def step(windows: dict[bytes, tuple[list[int], int]]):
@@ -108,16 +109,16 @@ def find_windows(documents: DataFrame, benchmark: DataFrame, width: int = 10) ->
                     items.append(sorted(owners))
                 many = pa.list_(pa.int64())
                 found = [pa.array(n_words, pa.int64()), *(pa.array(x, many) for x in (starts, ends, items))]
-                names = ["doc_id", "text", "n_words", "starts", "ends", "items"]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], names=names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *found, *batch.columns[6:]], names=batch.schema.names)
 
         return search
 
     none = F.array().cast("array<long>")
     out = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-        F.lit(0).cast("long").alias("n_words"), none.alias("starts"), none.alias("ends"), none.alias("items"),
+        F.lit(0).cast("long").alias("n_words"), none.alias("starts"), none.alias("ends"), none.alias("items"), *carried(documents),
     )
+    schema = with_carried(FOUND, out)
     for windows in list(item_windows(benchmark, width)) or [{}]:
-        out = out.mapInArrow(step(windows), FOUND)
+        out = out.mapInArrow(step(windows), schema)
     return out

@@ -56,15 +56,19 @@ def _count(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def measures(documents: DataFrame) -> DataFrame:
-    """doc_id and what the rules look at, over whole texts. A null text has no words, lines or characters."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def measures(documents: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, what the rules look at, over whole texts, and more columns. A null text has no words, lines or characters."""
+    docs = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more
+    )
+    names = docs.columns[2:]
     has_word = F.length(F.translate(F.col("text"), SPACE, "")) > 0
     split = docs.select(
         "doc_id",
         "text",
         F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != "").alias("words"),
         F.when(has_word, F.filter(F.split("text", "\n"), lambda x: ~x.rlike("^[ \\t-\\r]*$"))).otherwise(F.array().cast("array<string>")).alias("lines"),
+        *names,
     )
     return split.select(
         "doc_id",
@@ -78,6 +82,7 @@ def measures(documents: DataFrame) -> DataFrame:
         _count(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_capitals"),
         _count(F.col("text"), "!").cast("long").alias("n_shouts"),
         _count(F.col("text"), ".?").cast("long").alias("n_stops"),
+        *names,
     )
 
 
@@ -117,12 +122,21 @@ def posterior(prior: float, good: list[float], bad: list[float]) -> Column:
     return F.expr(f"1D / (1D + exp(-({math.log(prior / (1 - prior))}D + aggregate({each}, 0D, (a, b) -> a + b))))")
 
 
+def verdict(measured: DataFrame, model: tuple[float, list[float], list[float]], least: float, rules: dict[str, tuple[str, str]]) -> DataFrame:
+    judged = measured.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
+    judged = judged.withColumn("votes", votes(rules)).withColumn("quality", posterior(*model))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
+
+
 def judge(documents: DataFrame, least: float = 0.5, rules: dict[str, tuple[str, str]] = RULES) -> DataFrame:
     """doc_id, the measures, base_failed (too short, or too repetitive: rejected at once), quality (posterior
     probability) and kept. Null and repeated ids stay as they are; no documents give no rows."""
     measured = stored(measures(documents), "measures")
-    model = estimate(measured, rules)
-    failed = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
-    judged = measured.withColumn("votes", votes(rules)).withColumn("base_failed", failed)
-    judged = judged.withColumn("quality", posterior(*model))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
+    return verdict(measured, estimate(measured, rules), least, rules)
+
+
+def keep(documents: DataFrame, least: float = 0.5, rules: dict[str, tuple[str, str]] = RULES) -> DataFrame:
+    """The documents that judge() keeps, with all their columns. Measures twice rather than move texts."""
+    model = estimate(measures(documents), rules)
+    measured = measures(documents, F.struct("*").alias("carried"))
+    return verdict(measured, model, least, rules).filter("kept").select("carried.*")

@@ -9,7 +9,6 @@ contexts (all windows around a fingerprint) are compared, then single windows.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -18,7 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import WordHashes, byte_rows, local_minima, merged, shared_folder, stored, texts, window_hashes
+from sluice.llm.common import (
+    WordHashes,
+    byte_rows,
+    carried,
+    local_minima,
+    merged,
+    shared_folder,
+    stored,
+    texts,
+    window_hashes,
+    with_carried,
+)
 
 #: Words in a fingerprinted gram.
 GRAM = 8
@@ -204,12 +214,11 @@ def remove_repeats(documents: DataFrame, width: int = 50, batches: int = 2) -> D
                     words = [w for a, b in zip(edges[::2], edges[1::2]) for w in words[a:b]]
                 kept.append(b" ".join(words))
             columns = [pa.array(n_words, pa.int64()), pa.array(removed, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
-            names = ["doc_id", "text", "n_words", "removed", "kept_text"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
-
-    all_docs = docs.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "whole", "single")
-    return all_docs.mapInArrow(cut, KEPT)
-
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+            names = ["doc_id", "text", "n_words", "removed", "kept_text", *batch.schema.names[4:]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns, *batch.columns[4:]], names=names)
+
+    more = carried(documents)
+    docs = texts(documents, *more) if more else docs
+    names = ["doc_id", "text", "whole", "single", "carried"][: 4 + len(more)]
+    all_docs = docs.join(spans, ["doc_id", "th"], "left").select(*names)
+    return all_docs.mapInArrow(cut, with_carried(KEPT, all_docs))
