@@ -100,27 +100,31 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def window_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """Hash of each k consecutive elements of h, by doubling: O(n log k)."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    if seed:
-        h = mix(h + np.uint64(seed))
-    out, done, width, power = np.zeros(n, dtype=np.uint64), 0, 1, 0x9E3779B97F4A7C15
-    level, k_left = h, k
-    with np.errstate(over="ignore"):
-        while k_left:
-            if k_left & 1:
-                out = out * np.uint64(power) + level[done : done + n]
-                done += width
-            k_left >>= 1
-            if k_left:
-                level = level[: len(level) - width] * np.uint64(power) + level[width:]
-                level = mix(level)
-                power = (power * power) & 0xFFFFFFFFFFFFFFFF | 1
-                width *= 2
-        return mix(out)
+class Rolling:
+    """Hashes of windows of a sequence of 64-bit integers, of any width and anywhere, a few operations each: sums of
+    elements times powers of an odd base, modulo 2 ** 64."""
+
+    def __init__(self, seed: int = 0):
+        self.base = int(mix(np.array([seed + 1], dtype=np.uint64))[0]) | 1
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def load(self, h: np.ndarray) -> Rolling:
+        n = len(h)
+        if n > len(self.up):
+            size = 2 * n
+            factors = np.ones((2, size), dtype=np.uint64)
+            factors[:, 1:] = np.array([[self.base], [pow(self.base, -1, 1 << 64)]], dtype=np.uint64)
+            self.up, self.down = np.cumprod(factors, axis=1)
+        self.n, self.sums = n, np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(h * self.up[:n], out=self.sums[1:])
+        return self
+
+    def windows(self, k: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of the windows of k elements that start at each place of at (default: all)."""
+        if at is None:
+            n = max(0, self.n - k + 1)
+            return mix((self.sums[k : k + n] - self.sums[:n]) * self.down[:n] + np.uint64(k))
+        return mix((self.sums[at + k] - self.sums[at]) * self.down[at] + np.uint64(k))
 
 
 def _sliding(h: np.ndarray, w: int, take) -> np.ndarray:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.common import (
+    Rolling,
     WordHashes,
     byte_rows,
     carried,
@@ -26,7 +27,6 @@ from sluice.llm.common import (
     shared_folder,
     stored,
     texts,
-    window_hashes,
     with_carried,
 )
 
@@ -37,11 +37,11 @@ WINDOWS = "w long, v int, doc_id long, th int, pos int"
 KEPT = "doc_id long, text string, n_words long, removed array<long>, kept_text binary"
 
 
-def contexts(h: np.ndarray, at: np.ndarray, reach: int, length: int) -> np.ndarray:
+def contexts(rolling: Rolling, h: np.ndarray, at: np.ndarray, reach: int, length: int) -> np.ndarray:
     """Hash of all that windows around each gram at `at` can hold: reach elements before and after it; what lies
     beyond the text's ends counts as an element of its own."""
     edge = np.zeros(reach, dtype=np.uint64)
-    return window_hashes(np.concatenate((edge, h, edge)), 2 * reach + length, seed=77)[at]
+    return rolling.load(np.concatenate((edge, h, edge))).windows(2 * reach + length, at)
 
 
 class FingerprintIndex:
@@ -94,7 +94,7 @@ def fingerprints(docs: DataFrame, width: int, gram: int = GRAM) -> DataFrame:
     """Fingerprints h of all documents with an id and at least `width` words, with the hash c of their context."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, rolling = WordHashes(), Rolling()
         for batch in batches:
             out, doc_ids, ths = [], batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, text in enumerate(byte_rows(batch.column(2))):
@@ -102,10 +102,10 @@ def fingerprints(docs: DataFrame, width: int, gram: int = GRAM) -> DataFrame:
                 if len(words) < width:
                     continue
                 w = hashes.of(words)
-                g = window_hashes(w, gram)
+                g = rolling.load(w).windows(gram)
                 at = local_minima(g, width - gram + 1)
                 n = len(at)
-                out.append((g[at], contexts(w, at, width - gram, gram), np.full(n, doc_ids[i]), np.full(n, ths[i]), at))
+                out.append((g[at], contexts(rolling, w, at, width - gram, gram), np.full(n, doc_ids[i]), np.full(n, ths[i]), at))
             yield arrays(out, PRINTS)
 
     return docs.filter("doc_id is not null").select("doc_id", "th", "text").mapInArrow(prints, PRINTS)
@@ -171,7 +171,7 @@ def remove_repeats(documents: DataFrame, width: int = 50, batches: int = 2) -> D
         return merged(np.maximum(at - reach, 0), np.minimum(at, n - width) + 1)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, one, two = WordHashes(), Rolling(5), Rolling(6)
         for batch in batches:
             out, doc_ids, ths = [], batch.column(0).to_numpy(), batch.column(1).to_numpy()
             sure, check = batch.column(3).to_pylist(), batch.column(4).to_pylist()
@@ -186,7 +186,7 @@ def remove_repeats(documents: DataFrame, width: int = 50, batches: int = 2) -> D
                 at = np.flatnonzero(show)
                 if len(at):
                     h = hashes.of(words)
-                    w, v = window_hashes(h, width, seed=5)[at], window_hashes(h, width, seed=6)[at]
+                    w, v = one.load(h).windows(width, at), two.load(h).windows(width, at)
                     out.append((w, (v >> np.uint64(33)).astype(np.int64), np.full(len(at), doc_ids[i]), np.full(len(at), ths[i]), at))
             yield arrays(out, WINDOWS)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import byte_rows, local_minima, merged, mix, stored, texts, window_hashes
+from sluice.llm.common import Rolling, byte_rows, local_minima, merged, mix, stored, texts
 from sluice.llm.substring_dedup import PRINTS, arrays, contexts
 
 GRAM = 32
@@ -25,7 +25,7 @@ GRAM = 32
 SHALLOW = 8
 #: Distinct contexts of one gram that are sorted together. Grams with more are a few very common passages with many
 #: different surroundings; their strings are dealt out one by one.
-BUCKET = 512
+BUCKET = 8192
 SPANS = "doc_id long, th int, s int, e int"
 SHOWN = "w long, v long, doc_id long, th int, pos int"
 KEPT = "doc_id long, n_bytes long, removed array<long>, kept_bytes binary"
@@ -159,23 +159,25 @@ def hashes(text: bytes) -> np.ndarray:
 BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def grams(docs: DataFrame, width: int, least: int = 0) -> DataFrame:
+def grams(docs: DataFrame, width: int) -> DataFrame:
     """The smallest grams h of all texts of at least `width` bytes, with the hash c of their context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling()
         for batch in batches:
-            out, doc_ids, ths = [], batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            out, held, doc_ids, ths = [], 0, batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, text in enumerate(byte_rows(batch.column(2))):
                 if len(text) < width:
                     continue
                 b = hashes(text)
-                g = window_hashes(b, GRAM)
+                g = rolling.load(b).windows(GRAM)
                 at = local_minima(g, width - GRAM + 1)
                 n = len(at)
-                out.append((g[at], contexts(b, at, width - GRAM, GRAM), np.full(n, doc_ids[i]), np.full(n, ths[i]), at))
-                if sum(len(x[0]) for x in out[-64:]) > 100_000:
+                out.append((g[at], contexts(rolling, b, at, width - GRAM, GRAM), np.full(n, doc_ids[i]), np.full(n, ths[i]), at))
+                held += n
+                if held > 500_000:
                     yield arrays(out, PRINTS)
-                    out = []
+                    out, held = [], 0
             yield arrays(out, PRINTS)
 
     return docs.mapInArrow(run, PRINTS)
@@ -256,6 +258,7 @@ def remove_repeated_bytes(documents: DataFrame, width: int = 200) -> DataFrame:
     spans = dealt.mapInArrow(order, SPANS)
 
     def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = Rolling(5), Rolling(6)
         for batch in batches:
             columns = [batch.column(x).to_pylist() for x in ("doc_id", "th", "pos", "before", "after", "h")]
             for at in range(0, batch.num_rows, 2000):
@@ -264,7 +267,7 @@ def remove_repeated_bytes(documents: DataFrame, width: int = 200) -> DataFrame:
                     s = before[::-1] + bytes(GRAM) + after  # the gram is the same for all of h
                     if len(s) >= width:
                         b = hashes(s)
-                        w, v = window_hashes(b, width, seed=5), window_hashes(b, width, seed=6)
+                        w, v = one.load(b).windows(width), two.load(b).windows(width)
                         n = len(w)
                         offset = np.arange(n)
                         w = mix(w ^ np.uint64(h & 0xFFFFFFFFFFFFFFFF) ^ (np.uint64(len(before)) - offset.astype(np.uint64)))
