@@ -25,7 +25,7 @@ GRAM = 32
 SHALLOW = 8
 #: Distinct contexts of one gram that are sorted together. Grams with more are a few very common passages with many
 #: different surroundings; their strings are dealt out one by one.
-BUCKET = 8192
+BUCKET = 65_536
 SPANS = "doc_id long, th int, s int, e int"
 SHOWN = "w long, v long, doc_id long, th int, pos int"
 KEPT = "doc_id long, n_bytes long, removed array<long>, kept_bytes binary"
@@ -123,11 +123,11 @@ def depths(strings: list[bytes], most: int) -> np.ndarray:
     string is shorter than d."""
     order = deep_shallow(strings)
     near = np.array([0] + [common_prefix(strings[i], strings[j]) for i, j in zip(order, order[1:])])
-    out = np.empty((most + 1, len(strings)), dtype=np.int64)
+    out = np.empty((most + 1, len(strings)), dtype=np.int32)
     lengths = np.array([len(s) for s in strings])
-    d = np.arange(most + 1)[:, None]
-    out[:, order] = np.cumsum(near[None, :] < d, axis=1) + len(strings)
-    out[lengths[None, :] < d] = -1
+    for d in range(most + 1):
+        out[d, order] = np.cumsum(near < d)
+        out[d, lengths < d] = -1
     return out
 
 
@@ -140,15 +140,16 @@ def repeated_starts(left: list[bytes], right: list[bytes], most: int) -> list[np
         both = np.arange(max(0, most - b), a + 1)
         return [both, both]
     l, r = depths(left, most), depths(right, most)[::-1]
-    ids = np.where((l < 0) | (r < 0), -1 - np.arange(n)[None, :], l * (4 * n) + r)
-    order = np.argsort(ids, axis=1)
-    ranked = np.take_along_axis(ids, order, axis=1)
-    same = ranked[:, 1:] == ranked[:, :-1]
-    twice = np.zeros((most + 1, n), dtype=bool)
-    twice[:, 1:] |= same
-    twice[:, :-1] |= same
-    found = np.empty_like(twice)
-    np.put_along_axis(found, order, twice, axis=1)
+    found = np.zeros((most + 1, n), dtype=bool)
+    for d in range(most + 1):  # one distance at a time, so that memory stays small
+        at = np.flatnonzero((l[d] >= 0) & (r[d] >= 0))
+        ids = l[d, at].astype(np.int64) * n + r[d, at]
+        order = np.argsort(ids)
+        same = np.diff(ids[order]) == 0
+        twice = np.zeros(len(at), dtype=bool)
+        twice[1:] |= same
+        twice[:-1] |= same
+        found[d, at[order]] = twice
     return [np.flatnonzero(found[:, i]) for i in range(n)]
 
 
