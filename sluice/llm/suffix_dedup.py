@@ -26,6 +26,8 @@ SHALLOW = 8
 #: Distinct contexts of one gram that are sorted together. Grams with more are a few very common passages with many
 #: different surroundings; their strings are dealt out one by one.
 BUCKET = 65_536
+#: Cells (distance, context) that are handled together.
+CELLS = 1 << 20
 SPANS = "doc_id long, th int, s int, e int"
 SHOWN = "w long, v long, doc_id long, th int, pos int"
 KEPT = "doc_id long, n_bytes long, removed array<long>, kept_bytes binary"
@@ -122,35 +124,41 @@ def depths(strings: list[bytes], most: int) -> np.ndarray:
     """[d, i]: the group of string i among strings that agree on their first d bytes, for d = 0..most; below 0 if the
     string is shorter than d."""
     order = deep_shallow(strings)
-    near = np.array([0] + [common_prefix(strings[i], strings[j]) for i, j in zip(order, order[1:])])
+    near = np.array([0] + [common_prefix(strings[i], strings[j]) for i, j in zip(order, order[1:])], dtype=np.int32)
     out = np.empty((most + 1, len(strings)), dtype=np.int32)
-    lengths = np.array([len(s) for s in strings])
-    for d in range(most + 1):
-        out[d, order] = np.cumsum(near < d)
-        out[d, lengths < d] = -1
+    lengths = np.array([len(s) for s in strings], dtype=np.int32)
+    step = max(1, CELLS // len(strings))
+    for low in range(0, most + 1, step):  # some distances at a time, so that memory stays small
+        d = np.arange(low, min(low + step, most + 1), dtype=np.int32)[:, None]
+        out[d, order] = np.cumsum(near < d, axis=1, dtype=np.int32)
+        out[low : low + len(d)][lengths < d] = -1
     return out
 
 
-def repeated_starts(left: list[bytes], right: list[bytes], most: int) -> list[np.ndarray]:
-    """For each context (reversed bytes before its gram, bytes behind it): how many bytes before the gram the strings
-    start that another context holds too. A string has l bytes before the gram and most - l behind it."""
+def repeated_reach(left: list[bytes], right: list[bytes], most: int) -> list[tuple[int, int] | None]:
+    """For each context (reversed bytes before its gram, bytes behind it): the fewest and the most bytes before the gram
+    at which a string starts that another context holds too; None if there is none. A string has l bytes before the
+    gram and most - l behind it, so all strings of a context overlap at the gram and cover one span."""
     n = len(left)
     if n == 2:
         a, b = common_prefix(left[0], left[1]), common_prefix(right[0], right[1])
-        both = np.arange(max(0, most - b), a + 1)
-        return [both, both]
+        return [(max(0, most - b), a) if a + b >= most else None] * 2
     l, r = depths(left, most), depths(right, most)[::-1]
     found = np.zeros((most + 1, n), dtype=bool)
-    for d in range(most + 1):  # one distance at a time, so that memory stays small
-        at = np.flatnonzero((l[d] >= 0) & (r[d] >= 0))
-        ids = l[d, at].astype(np.int64) * n + r[d, at]
-        order = np.argsort(ids)
-        same = np.diff(ids[order]) == 0
-        twice = np.zeros(len(at), dtype=bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        found[d, at[order]] = twice
-    return [np.flatnonzero(found[:, i]) for i in range(n)]
+    alone = -1 - np.arange(n, dtype=np.int64)  # ids of places where a string ends too early
+    step = max(1, CELLS // n)
+    for low in range(0, most + 1, step):
+        x, y = l[low : low + step], r[low : low + step]
+        ids = np.where((x >= 0) & (y >= 0), x.astype(np.int64) * n + y, alone)
+        order = np.argsort(ids, axis=1)
+        ids = np.take_along_axis(ids, order, axis=1)
+        same = ids[:, 1:] == ids[:, :-1]
+        twice = np.zeros(ids.shape, dtype=bool)
+        twice[:, 1:] |= same
+        twice[:, :-1] |= same
+        np.put_along_axis(found[low : low + step], order, twice, axis=1)
+    fewest, longest = found.argmax(axis=0).tolist(), (most - found[::-1].argmax(axis=0)).tolist()
+    return [span if some else None for some, *span in zip(found.any(axis=0).tolist(), fewest, longest)]
 
 
 def hashes(text: bytes) -> np.ndarray:
@@ -227,12 +235,10 @@ def remove_repeated_bytes(documents: DataFrame, width: int = 200) -> DataFrame:
     shown = stored(marked.filter("size(check) > 0").mapInArrow(show, schema), "shown")
 
     def bucket(rows: list[tuple]) -> Iterator[tuple]:
-        starts = repeated_starts([r[5] for r in rows], [r[6] for r in rows], reach)
-        for (_, n, doc_id, th, pos, _, _), before in zip(rows, starts):
-            if n == 1 and len(before):
-                s = pos - before[::-1]
-                for a, b in zip(*merged(s, s + width)):
-                    yield doc_id, th, int(a), int(b)
+        spans = repeated_reach([r[5] for r in rows], [r[6] for r in rows], reach)
+        for (_, n, doc_id, th, pos, _, _), span in zip(rows, spans):
+            if n == 1 and span:
+                yield doc_id, th, pos - span[1], pos - span[0] + width
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(found: list[tuple]) -> pa.RecordBatch:
