@@ -6,6 +6,7 @@ tightest window that takes a piece is the first non-empty leaf at or right of th
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import zlib
@@ -111,6 +112,12 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, words))
 
 
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One for all tasks that a worker process runs."""
+    return WordIds(path)
+
+
 def pieces(documents: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int = 2) -> DataFrame:
     """Every document's ids, an end id after them, cut into full windows and a rest: one row per piece.
 
@@ -118,7 +125,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, length: int = 4096, end_id
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last = WordIds(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        known, last = word_ids(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
             doc_ids, at = batch.column(0).to_pylist(), 0
