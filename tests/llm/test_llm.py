@@ -236,3 +236,30 @@ def test_toxicity_on_held_out_rows(spark):
     out = toxicity.score(docs, toxicity.fit(docs, known)).join(known, "doc_id").filter(toxicity.held_out(F.col("doc_id"))).toPandas()
     assert ((out.score >= 0.5) == (out.toxic == 1)).mean() > 0.97
     assert toxicity.score(docs, toxicity.fit(docs, known.filter("toxic = 0"))).filter("score > 0").count() == 0
+
+
+def test_repeated_reach_equals_brute_force(monkeypatch):
+    import random
+
+    from sluice.llm import suffix_dedup
+
+    some = random.Random(1)
+    for cells in (1 << 20, 37, 5):
+        monkeypatch.setattr(suffix_dedup, "CELLS", cells)
+        for _ in range(100):
+            n, most = some.choice([2, 3, 7, 20]), some.choice([4, 9, 14])
+            left, right = ([bytes(some.choices(b"ab", k=some.choice([most, most, some.randrange(most + 1)]))) for _ in range(n)] for _ in "ab")
+            held = [{(d, x[:d], y[: most - d]) for d in range(most + 1) if len(x) >= d and len(y) >= most - d} for x, y in zip(left, right)]
+            for i, got in enumerate(suffix_dedup.repeated_reach(left, right, most)):
+                others = set().union(*(held[j] for j in range(n) if j != i))
+                at = [d for d, *_ in held[i] & others]
+                assert (tuple(got) if got else None) == ((min(at), max(at)) if at else None)
+
+
+def test_components_reach_the_smallest_node(spark):
+    from sluice.llm.near_dedup import components
+
+    chain = [(i, i + 1) for i in range(40)] + [(100 + i, 200) for i in range(30)] + [(7, 7), (300, 301), (301, 300)]
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in [*range(100, 130), 200]} | {300: 300, 301: 300}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
