@@ -23,7 +23,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 #: Pieces that are packed together: bounds a task's memory; each block leaves a few windows open at most.
 BLOCK = 25_000
-MARKED = re.compile(rb"([a-z]+)([!-&(-/:-@[-`{-~]+)")
+#: Letters (a-z, and those of U+00C0 to U+00FF) and marks after them, none of them an apostrophe.
+MARKED = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@[-`{-~]+)")
 
 
 class OpenWindows:
@@ -79,30 +80,43 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], l
 class WordIds(dict):
     """word -> its token ids as little-endian bytes; words are what lies between ASCII white space.
 
-    The tokenizer's own split never crosses white space, so a text's ids are its words' ids one after another.
+    The tokenizer's own split never crosses white space, so a text's ids are its words' ids one after another. Words
+    are kept in two generations of `remembered` each at most: when the young one is full it becomes the old one, and
+    the words met again move back to the young one, so that rare words go and frequent ones stay.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 500_000):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
+        self.tokenizer, self.remembered, self.old = Tokenizer.from_file(path), remembered, {}
 
     def learn(self, words: set[bytes]) -> None:
         """Make sure that all these words are known."""
         new = words.difference(self)
         if len(self) + len(new) > self.remembered:
+            self.old = dict(self)
             self.clear()
             new = words
-        # A word of a-z with marks after it is split there by the tokenizer too.
+        new = self._moved(new)
+        # A word of letters with marks after it is split there by the tokenizer too.
         split = {w: m.groups() for w in new if (m := MARKED.fullmatch(w))}
-        whole = sorted(new.difference(split).union(*split.values()).difference(self))
+        whole = list(self._moved(new.difference(split).union(*split.values()).difference(self)))
         coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in whole], add_special_tokens=False)
         for word, e in zip(whole, coded):
-            self[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+            ids = e.ids
+            self[word] = struct.pack(f"<{len(ids)}I", *ids)
         for word, (letters, marks) in split.items():
             self[word] = self[letters] + self[marks]
 
+    def _moved(self, words: set[bytes]) -> set[bytes]:
+        """Take words of the old generation over; those that are left are in neither."""
+        if not self.old:
+            return words
+        found = [w for w in words if w in self.old]
+        self.update((w, self.old[w]) for w in found)
+        return words.difference(found)
+
     @staticmethod
     def words(text: bytes) -> list[bytes]:
         """The tokenizer lower-cases; doing so for A-Z first leaves fewer words. Its special tokens keep their case."""
