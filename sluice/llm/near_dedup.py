@@ -4,9 +4,9 @@ A document is the set of hashes of its word shingles, sketched by minwise tokens
 one byte of each of COMPARED ones to compare by, which leaves little doubt. Each of TREES independent
 trees branches the documents: a node chooses a few sketch positions, a document goes to the child that its token at a
 chosen position names, so that similar documents meet again and again. Nodes of few documents are compared
-exhaustively, on sketches first; nodes that stay large, after the last level or as further choices do not part them,
-are dealt into small blocks. A node does
-not emit all its pairs: in a first pass it emits a spanning forest of its similar pairs, which is confirmed on
+exhaustively, on sketches first; so are nodes that stay large, after the last level or as further choices do not part
+them: in cells, each a block of the node against itself or another one, so that all pairs of the node are compared. A
+cell does not emit all its pairs: in a first pass it emits a spanning forest of its similar pairs, which is confirmed on
 the full sets and closed to components; in a second pass it emits many, but only of pairs between different
 components. So a pair is left out only where confirmed links join its ends already, or after many better pairs that
 were refused. Documents of equal sets are one document from the start.
@@ -31,10 +31,12 @@ COMPARED = 512
 TREES = 12
 #: Levels by pairs: each adds two choices.
 ROUNDS = 4
-#: A node of at most so many documents is compared exhaustively.
+#: A node of at most so many documents is not branched further.
 SMALL = 128
-#: Two choices keep a pair of similarity 0.75 together with chance 0.75 ** 2. A node that keeps so much of its parent loses
-#: links by further choices as fast as it loses other pairs: it is dealt into blocks.
+#: Documents of a block (about; hashing deals them).
+BLOCK = 1024
+#: A node that keeps so much of its parent is not branched further. This and ROUNDS weigh rows of branches against
+#: compared sketches: no pair is lost by stopping early.
 STAYS = 0.75**2
 #: Edge-disjoint spanning forests that a node emits in the first pass, and in the second between components.
 FORESTS = (1, 12)
@@ -122,14 +124,32 @@ def descend(rows: DataFrame, trees: int = 0) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def forest_pairs(tokens: np.ndarray, label: np.ndarray, least: float, forests: int) -> list[tuple[int, int]]:
+def spanning(same: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Edges of the maximum spanning forest of a symmetric matrix, of those that are at least so large."""
+    seen, best, via = np.zeros(len(same), dtype=bool), np.zeros(len(same), dtype=same.dtype), np.zeros(len(same), dtype=int)
+    now, edges = 0, []
+    for _ in range(len(same) - 1):
+        seen[now] = True
+        better = same[now] > best
+        best[better], via[better] = same[now][better], now
+        best[seen] = -1
+        now = int(best.argmax())
+        if best[now] >= least:
+            edges.append((int(via[now]), now))
+    return edges
+
+
+def forest_pairs(tokens: np.ndarray, label: np.ndarray, side: np.ndarray, least: float, forests: int) -> list[tuple[int, int]]:
     """Pairs of rows to confirm: as many edge-disjoint maximum spanning forests of the rows whose sketches are at least
-    so similar. Rows of one label are joined already."""
+    so similar. Rows of one label are joined already; those of one block (side, -1 for none) meet in another cell."""
     n = len(tokens)
     same = np.zeros((n, n), dtype=np.int16)
     for i in range(n - 1):
         same[i, i + 1 :] = np.count_nonzero(tokens[i + 1 :] == tokens[i], axis=1)
     same[label[:, None] == label] = 0
+    same[(side[:, None] == side) & (side >= 0)] = 0
+    if forests == 1 and len(np.unique(label)) == n:
+        return spanning(np.maximum(same, same.T), max(1, least * COMPARED))
     a, b = np.nonzero(same >= max(1, least * COMPARED))
     order = np.argsort(-same[a, b], kind="stable")
     rest, found = list(zip(a[order].tolist(), b[order].tolist())), []
@@ -152,18 +172,18 @@ def forest_pairs(tokens: np.ndarray, label: np.ndarray, least: float, forests: i
 
 
 def compare(nodes: DataFrame, least: float, forests: int) -> DataFrame:
-    """Pairs (a < b) to confirm, from rows (node, rep, label, prints) that are sorted by node within each partition."""
+    """Pairs (a < b) to confirm, from rows (node, side, rep, label, prints) that are sorted by node within each partition."""
     schema = "a long, b long"
 
-    def pairs(node: np.ndarray, rep: np.ndarray, label: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(node: np.ndarray, rep: np.ndarray, label: np.ndarray, side: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         edges = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1], [True])))
         start, count = edges[:-1], np.diff(edges)
         at = start[count == 2]
         at = at[np.count_nonzero(tokens[at] == tokens[at + 1], axis=1) >= least * COMPARED]
-        at = at[label[at] != label[at + 1]]
+        at = at[(label[at] != label[at + 1]) & ((side[at] != side[at + 1]) | (side[at] < 0))]
         a, b = [rep[at]], [rep[at + 1]]
         for s, n in zip(start[count > 2].tolist(), count[count > 2].tolist()):
-            if found := forest_pairs(tokens[s : s + n], label[s : s + n], least, forests):
+            if found := forest_pairs(tokens[s : s + n], label[s : s + n], side[s : s + n], least, forests):
                 x = np.array(found) + s
                 a.append(rep[x[:, 0]])
                 b.append(rep[x[:, 1]])
@@ -177,7 +197,7 @@ def compare(nodes: DataFrame, least: float, forests: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             tokens = np.frombuffer(b"".join(batch.column("prints").to_pylist()), dtype=np.uint8).reshape(-1, COMPARED)
-            now = [*(batch.column(x).to_numpy() for x in ("node", "rep", "label")), tokens]
+            now = [*(batch.column(x).to_numpy() for x in ("node", "rep", "label", "side")), tokens]
             now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             last = int(np.searchsorted(now[0], now[0][-1]))  # the last node may go on in the next batch
             if last:
@@ -191,8 +211,8 @@ def compare(nodes: DataFrame, least: float, forests: int) -> DataFrame:
 
 
 def meetings(reps: DataFrame, trees: int = TREES) -> DataFrame:
-    """(node, rep) for every small node, or block of a large one, where some tree brings documents together. reps: rep,
-    sketch."""
+    """(node, side, rep) for every small node, or cell of a large one, where some tree brings documents together: every
+    two documents of a node share one cell in which their sides differ or are -1. reps: rep, sketch."""
     rows, found = descend(reps.withColumn("n", F.lit(2**62)), trees), []
     for level in range(ROUNDS):
         rows = stored(rows, "nodes")
@@ -200,10 +220,13 @@ def meetings(reps: DataFrame, trees: int = TREES) -> DataFrame:
         large = F.col("n") > SMALL
         ends = F.lit(level == ROUNDS - 1) | (F.col("n") >= STAYS * F.col("m"))
         rows = rows.drop("parent")
-        found.append(rows.join(sizes.filter(~large).select("node"), "node"))
-        # Near copies of each other: blocks of SMALL at random, others in every tree.
-        block = F.xxhash64("node", F.pmod(F.xxhash64("node", "rep"), F.ceil(F.col("n") / SMALL)))
-        found.append(rows.join(sizes.filter(large & ends), "node").select(block.alias("node"), "rep"))
+        found.append(rows.join(sizes.filter(~large).select("node"), "node").select("node", F.lit(-1).alias("side"), "rep"))
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        dealt = rows.join(sizes.filter(large & ends), "node").withColumn("block", F.pmod(F.xxhash64("node", "rep"), blocks).cast("int"))
+        dealt = dealt.select("node", "rep", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        cell = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
+        side = F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block"))
+        found.append(dealt.select(cell.alias("node"), side.alias("side"), "rep"))
         if sizes.filter(large & ~ends).isEmpty():
             break
         rows = rows.join(sizes.filter(large & ~ends), "node").select("node", "rep", "n").distinct()
@@ -249,7 +272,7 @@ def links(reps: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFr
     """Confirmed links whose components are those of all links. reps: rep, th, sketch, prints; docs: doc_id, th, text."""
     least = threshold / 100 - SLACK
     nodes = meetings(reps.select("rep", "sketch"))
-    nodes = stored(nodes.join(reps, "rep").select("node", "rep", F.col("rep").alias("label"), "prints"), "meetings")
+    nodes = stored(nodes.join(reps, "rep").select("node", "side", "rep", F.col("rep").alias("label"), "prints"), "meetings")
     first = stored(compare(nodes, least, FORESTS[0]), "pairs")
     # Who meets nobody so similar in the first pass does not in the second.
     named = reps.join(first.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep").select("rep", "th")
@@ -259,7 +282,7 @@ def links(reps: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFr
     met = stored(confirmed(first, sets, threshold), "met")
     label = named.select("rep").distinct().join(components(met).withColumnRenamed("node", "rep"), "rep", "left")
     label = stored(label.select("rep", F.coalesce("label", "rep").alias("label")), "label")
-    again = nodes.drop("label").join(label, "rep").select("node", "rep", "label", "prints")
+    again = nodes.drop("label").join(label, "rep").select("node", "side", "rep", "label", "prints")
     second = compare(again, least, FORESTS[1]).join(first, ["a", "b"], "left_anti")
     return met.union(confirmed(second, sets, threshold))
 

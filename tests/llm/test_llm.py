@@ -263,3 +263,16 @@ def test_components_reach_the_smallest_node(spark):
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in [*range(100, 130), 200]} | {300: 300, 301: 300}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_dedup_compares_all_pairs_of_a_node_that_stays_large(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 100, raising=False)
+    sketch = bytearray(range(4)) * near_dedup.BRANCHING
+    rows = near_dedup.meetings(spark.createDataFrame([(i, sketch) for i in range(300)], "rep long, sketch binary"), 1)
+    rows = rows.select("node", "rep", "side" if "side" in rows.columns else F.lit(-1).alias("side")).collect()
+    met, cells = Counter(), {}
+    for r in rows:
+        cells.setdefault(r.node, []).append((r.rep, r.side))
+    for cell in cells.values():
+        met.update((a, b) for a, x in cell for b, y in cell if a < b and (x != y or x == -1))
+    assert {(a, b) for a in range(300) for b in range(a + 1, 300)} <= set(met)
