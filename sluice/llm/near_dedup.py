@@ -7,9 +7,9 @@ chosen position names, so that similar documents meet again and again. Nodes of
 exhaustively, on sketches first; so are nodes that stay large, after the last level or as further choices do not part
 them: in cells, each a block of the node against itself or another one, so that all pairs of the node are compared. A
 cell does not emit all its pairs: in a first pass it emits a spanning forest of its similar pairs, which is confirmed on
-the full sets and closed to components; in a second pass it emits many, but only of pairs between different
-components. So a pair is left out only where confirmed links join its ends already, or after many better pairs that
-were refused. Documents of equal sets are one document from the start.
+the full sets and closed to components; in a second pass the documents that are similar to one of another component
+bring their full sets to the cell, which compares every two of them that no link joins yet. So a pair is left out only
+where confirmed links join its ends already. Documents of equal sets are one document from the start.
 """
 
 from __future__ import annotations
@@ -38,8 +38,6 @@ BLOCK = 1024
 #: A node that keeps so much of its parent is not branched further. This and ROUNDS weigh rows of branches against
 #: compared sketches: no pair is lost by stopping early.
 STAYS = 0.75**2
-#: Edge-disjoint spanning forests that a node emits in the first pass, and in the second between components.
-FORESTS = (1, 12)
 #: Sketch similarity below the threshold at which a pair is still confirmed on full sets (over four deviations).
 SLACK = 0.0875
 SKETCHES = "doc_id long, th int, n_shingles long, f1 long, f2 long, sketch binary, prints binary"
@@ -139,75 +137,129 @@ def spanning(same: np.ndarray, least: float) -> list[tuple[int, int]]:
     return edges
 
 
-def forest_pairs(tokens: np.ndarray, label: np.ndarray, side: np.ndarray, least: float, forests: int) -> list[tuple[int, int]]:
-    """Pairs of rows to confirm: as many edge-disjoint maximum spanning forests of the rows whose sketches are at least
-    so similar. Rows of one label are joined already; those of one block (side, -1 for none) meet in another cell."""
+def alike(tokens: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Equal tokens of every two rows; 0 for a row with itself and rows of one block (side, -1 for none), which meet in
+    another cell."""
     n = len(tokens)
     same = np.zeros((n, n), dtype=np.int16)
     for i in range(n - 1):
         same[i, i + 1 :] = np.count_nonzero(tokens[i + 1 :] == tokens[i], axis=1)
-    same[label[:, None] == label] = 0
+    same = np.maximum(same, same.T)
     same[(side[:, None] == side) & (side >= 0)] = 0
-    if forests == 1 and len(np.unique(label)) == n:
-        return spanning(np.maximum(same, same.T), max(1, least * COMPARED))
-    a, b = np.nonzero(same >= max(1, least * COMPARED))
-    order = np.argsort(-same[a, b], kind="stable")
-    rest, found = list(zip(a[order].tolist(), b[order].tolist())), []
-    joined = np.unique(label, return_index=True, return_inverse=True)
-    start = joined[1][joined[2]].tolist()
-    for _ in range(forests):
-        edges, rest, root = rest, [], list(start)
-        for a, b in edges:
-            x, y = a, b
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            while root[y] != y:
-                root[y] = y = root[root[y]]
-            if x != y:
-                root[x] = y
-                found.append((a, b))
-            else:
-                rest.append((a, b))
-    return found
-
-
-def compare(nodes: DataFrame, least: float, forests: int) -> DataFrame:
-    """Pairs (a < b) to confirm, from rows (node, side, rep, label, prints) that are sorted by node within each partition."""
+    return same
+
+
+def whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, sorted by node, in batches that part no node."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None and held.num_rows:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        node = batch.column("node").to_numpy()
+        last = int(np.searchsorted(node, node[-1]))  # the last node may go on in the next batch
+        if last:
+            yield batch.slice(0, last)
+        held = batch.slice(last)
+    if held is not None:
+        yield held
+
+
+def cells(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of each node."""
+    node = batch.column("node").to_numpy()
+    edges = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1], [True])))
+    return zip(edges[:-1].tolist(), np.diff(edges).tolist())
+
+
+def prints_of(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("prints").to_pylist()), dtype=np.uint8).reshape(-1, COMPARED)
+
+
+def by_node(nodes: DataFrame) -> DataFrame:
+    shards = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return nodes.repartition(shards, "node").sortWithinPartitions("node")
+
+
+def compare(nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a < b) to confirm first, a spanning forest of each cell. nodes: node, side, rep, prints."""
     schema = "a long, b long"
 
-    def pairs(node: np.ndarray, rep: np.ndarray, label: np.ndarray, side: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        edges = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1], [True])))
-        start, count = edges[:-1], np.diff(edges)
-        at = start[count == 2]
-        at = at[np.count_nonzero(tokens[at] == tokens[at + 1], axis=1) >= least * COMPARED]
-        at = at[(label[at] != label[at + 1]) & ((side[at] != side[at + 1]) | (side[at] < 0))]
-        a, b = [rep[at]], [rep[at + 1]]
-        for s, n in zip(start[count > 2].tolist(), count[count > 2].tolist()):
-            if found := forest_pairs(tokens[s : s + n], label[s : s + n], side[s : s + n], least, forests):
-                x = np.array(found) + s
-                a.append(rep[x[:, 0]])
-                b.append(rep[x[:, 1]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
-        return both[:, 0], both[:, 1]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_nodes(batches):
+            tokens, found = prints_of(batch), []
+            rep, side = batch.column("rep").to_numpy(), batch.column("side").to_numpy()
+            for s, n in cells(batch):
+                if n == 2:
+                    if np.count_nonzero(tokens[s] == tokens[s + 1]) >= least * COMPARED and (side[s] != side[s + 1] or side[s] < 0):
+                        found.append((s, s + 1))
+                elif n > 2:
+                    edges = spanning(alike(tokens[s : s + n], side[s : s + n]), max(1, least * COMPARED))
+                    found.extend((s + x, s + y) for x, y in edges)
+            x = rep[np.array(found, dtype=np.int64).reshape(-1, 2)]
+            x = np.unique(np.sort(x, axis=1), axis=0)
+            yield arrays([(x[:, 0], x[:, 1])], schema)
+
+    return by_node(nodes).mapInArrow(run, schema).distinct()
+
+
+def undecided(nodes: DataFrame, least: float) -> DataFrame:
+    """(node, side, rep, label): the rows of each cell that are similar to one of another label there. nodes: those
+    columns and prints."""
+    names = ["node", "side", "rep", "label"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            tokens = np.frombuffer(b"".join(batch.column("prints").to_pylist()), dtype=np.uint8).reshape(-1, COMPARED)
-            now = [*(batch.column(x).to_numpy() for x in ("node", "rep", "label", "side")), tokens]
-            now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-            last = int(np.searchsorted(now[0], now[0][-1]))  # the last node may go on in the next batch
-            if last:
-                yield arrays([pairs(*(x[:last] for x in now))], schema)
-            held = [x[last:] for x in now]
-        if held is not None:
-            yield arrays([pairs(*held)], schema)
+        for batch in whole_nodes(batches):
+            label, side, hit = batch.column("label").to_numpy(), batch.column("side").to_numpy(), np.zeros(batch.num_rows, dtype=bool)
+            tokens = prints_of(batch)
+            for s, n in cells(batch):
+                order = s + np.argsort(label[s : s + n], kind="stable")
+                to = np.searchsorted(label[order], label[order], side="right")
+                for i in range(int(np.searchsorted(label[order], label[order[-1]]))):
+                    others = order[to[i] :]  # all rows of larger labels
+                    near = np.count_nonzero(tokens[others] == tokens[order[i]], axis=1) >= least * COMPARED
+                    near &= (side[others] != side[order[i]]) | (side[others] < 0)
+                    hit[others[near]] = True
+                    hit[order[i]] |= near.any()
+            yield batch.select(names).filter(pa.array(hit))
+
+    return by_node(nodes).mapInArrow(run, "node long, side int, rep long, label long")
+
+
+def united(nodes: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) that join all rows of a cell with 100 * intersection >= threshold * union on full sets and different
+    labels. nodes: node, side, rep, label, s."""
+    schema = "a long, b long"
 
-    shards = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return nodes.repartition(shards, "node").sortWithinPartitions("node").mapInArrow(run, schema).distinct()
+    def join(label: np.ndarray, side: np.ndarray, sets: list[bytes]) -> Iterator[tuple[int, int]]:
+        size = np.array([len(x) // 8 for x in sets])
+        flat = np.unique(np.frombuffer(b"".join(sets), dtype=np.uint64), return_inverse=True)[1]
+        part = np.split(flat, np.cumsum(size)[:-1])
+        mark, top = np.zeros(int(flat.max()) + 1, dtype=np.int64), label.copy()
+        for i in range(len(sets) - 1):
+            js = i + 1 + np.flatnonzero((top[i + 1 :] != top[i]) & ((side[i + 1 :] != side[i]) | (side[i] < 0)))
+            mark[part[i]] = 1
+            for js in np.split(js, range(256, len(js), 256)):
+                if len(js):
+                    both = np.add.reduceat(mark[np.concatenate([part[j] for j in js])], np.cumsum(size[js]) - size[js])
+                    for j in js[100 * both >= threshold * (size[i] + size[js] - both)].tolist():
+                        if top[j] != top[i]:
+                            top[top == top[j]] = top[i]
+                            yield i, j
+            mark[part[i]] = 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_nodes(batches):
+            rep, label, side = (batch.column(x).to_numpy() for x in ("rep", "label", "side"))
+            found = []
+            for s, n in cells(batch):
+                sets = batch.column("s").slice(s, n).to_pylist()
+                found.extend((s + i, s + j) for i, j in join(label[s : s + n], side[s : s + n], sets))
+            x = rep[np.array(found, dtype=np.int64).reshape(-1, 2)]
+            yield arrays([(x[:, 0], x[:, 1])], schema)
+
+    return by_node(nodes).mapInArrow(run, schema)
 
 
 def meetings(reps: DataFrame, trees: int = TREES) -> DataFrame:
@@ -272,8 +324,8 @@ def links(reps: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFr
     """Confirmed links whose components are those of all links. reps: rep, th, sketch, prints; docs: doc_id, th, text."""
     least = threshold / 100 - SLACK
     nodes = meetings(reps.select("rep", "sketch"))
-    nodes = stored(nodes.join(reps, "rep").select("node", "side", "rep", F.col("rep").alias("label"), "prints"), "meetings")
-    first = stored(compare(nodes, least, FORESTS[0]), "pairs")
+    nodes = stored(nodes.join(reps, "rep").select("node", "side", "rep", "prints"), "meetings")
+    first = stored(compare(nodes, least), "pairs")
     # Who meets nobody so similar in the first pass does not in the second.
     named = reps.join(first.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep").select("rep", "th")
     named = stored(named, "named")
@@ -282,9 +334,9 @@ def links(reps: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFr
     met = stored(confirmed(first, sets, threshold), "met")
     label = named.select("rep").distinct().join(components(met).withColumnRenamed("node", "rep"), "rep", "left")
     label = stored(label.select("rep", F.coalesce("label", "rep").alias("label")), "label")
-    again = nodes.drop("label").join(label, "rep").select("node", "side", "rep", "label", "prints")
-    second = compare(again, least, FORESTS[1]).join(first, ["a", "b"], "left_anti")
-    return met.union(confirmed(second, sets, threshold))
+    again = nodes.join(label, "rep").select("node", "side", "rep", "label", "prints")
+    open_rows = stored(undecided(again, least), "undecided")
+    return met.union(united(open_rows.join(sets, "rep").select("node", "side", "rep", "label", "s"), threshold))
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -276,3 +276,19 @@ def test_near_dedup_compares_all_pairs_of_a_node_that_stays_large(spark, monkeyp
     for cell in cells.values():
         met.update((a, b) for a, x in cell for b, y in cell if a < b and (x != y or x == -1))
     assert {(a, b) for a in range(300) for b in range(a + 1, 300)} <= set(met)
+
+
+def test_near_dedup_leaves_no_link_behind_refused_pairs(spark):
+    """Sketches on which 40 unrelated texts look better, to each other and to both ends of a link, than the link does."""
+    base = np.arange(near_dedup.COMPARED) % 251
+    x, y = base.copy(), base.copy()
+    x[:77] += 1
+    y[77:154] += 1
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join([*words[:190], "other"])] + [" ".join(f"v{k}.{i}" for i in range(50)) for k in range(40)]
+    prints = [x, y] + [base] * 40
+    sketch = bytearray(4 * near_dedup.BRANCHING)
+    reps = [(i, 0, sketch, bytearray(p.astype(np.uint8).tobytes())) for i, p in enumerate(prints)]
+    reps = spark.createDataFrame(reps, "rep long, th int, sketch binary, prints binary")
+    docs = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, th int, text string")
+    assert {tuple(sorted(r)) for r in near_dedup.links(reps, docs, 5, 75).collect()} == {(0, 1)}
