@@ -1,9 +1,9 @@
-"""Main text of web pages: page structure, and a suffix array per host that finds boilerplate.
+"""Main text of web pages: page structure, and runs of tokens that pages of a host share, which are boilerplate.
 
 Structure settles what markup says: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-comments go, and what an article element holds stays. Text outside an article is in doubt. The doubtful token streams
-of a host's pages are put one after another, a suffix array finds long runs of tokens that distinct pages share, and
-covered tokens go; unique runs stay. A host with many pages is dealt into groups of bounded size by page.
+comments go, and what an article element holds stays. Text outside an article is in doubt. The suffixes of the
+doubtful token streams of all pages of a host, cut at LEAST_RUN tokens, meet in one shuffle; those that distinct pages
+share are boilerplate and covered tokens go; unique runs stay.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from sluice.llm.common import stored
 
 #: Tokens that two pages of a host must share in a row for them to be boilerplate.
 LEAST_RUN = 5
-#: Pages in one suffix array at most (about; hashing deals them).
-GROUP = 400
 EXTRACTED = "page_id long, url string, text string"
 
 TOKEN = re.compile(
@@ -120,44 +118,28 @@ def blocks(html: str) -> tuple[list[str], list[str]]:
     return inside, outside
 
 
-def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted suffixes and common prefixes of neighbours, cut at LEAST_RUN tokens, by prefix doubling."""
-    n, width = len(tokens), 1
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    while width < LEAST_RUN:
-        step = min(width, LEAST_RUN - width)
-        next_rank = np.full(n, -1, dtype=np.int64)
-        next_rank[: n - step] = rank[step:]
-        order = np.lexsort((next_rank, rank))
-        new = np.empty(n, dtype=np.int64)
-        a, b = order[1:], order[:-1]
-        new[order] = np.concatenate(([0], np.cumsum((rank[a] != rank[b]) | (next_rank[a] != next_rank[b]))))
-        rank, width = new, width + step
-    return order, rank[order]
-
-
-def shared_tokens(pages: list[list[str]]) -> list[np.ndarray]:
-    """For each page's tokens: whether they lie in a run of LEAST_RUN tokens that another page of the list holds."""
-    numbers: dict[str, int] = {}
-    stream, owner = [], []
-    for i, page in enumerate(pages):
-        stream.extend(numbers.setdefault(t, len(numbers)) for t in page)
-        stream.append(-1 - i)  # no run crosses pages
-        owner.extend([i] * (len(page) + 1))
-    tokens, owner = np.array(stream, dtype=np.int64), np.array(owner)
-    marks = np.zeros(len(tokens) + LEAST_RUN, dtype=np.int64)
-    if len(tokens) > LEAST_RUN:
-        order, group = suffix_array(tokens)
-        low, high = np.full(group[-1] + 1, len(pages)), np.full(group[-1] + 1, -1)
-        np.minimum.at(low, group, owner[order])
-        np.maximum.at(high, group, owner[order])
-        hit = order[(low < high)[group]]
-        np.add.at(marks, hit, 1)
-        np.add.at(marks, hit + LEAST_RUN, -1)
-    covered = np.cumsum(marks)[: len(tokens)] > 0
-    ends = np.cumsum([len(p) + 1 for p in pages])
-    return [covered[e - len(p) - 1 : e - 1] for e, p in zip(ends, pages)]
+def runs(host: str, words: list[str]) -> np.ndarray:
+    """Hashes of all LEAST_RUN tokens in a row of a page of a host."""
+    import xxhash
+
+    found = [xxhash.xxh3_64_intdigest("\n".join([host, *words[i : i + LEAST_RUN]])) for i in range(len(words) - LEAST_RUN + 1)]
+    return np.array(found, dtype=np.uint64).view(np.int64)
+
+
+def unshared(host: str, doubt: list[str], shared: list[int]) -> str:
+    """The blocks, one per line, without the tokens in shared runs."""
+    words = [w for block in doubt for w in block.split()]
+    hit = np.flatnonzero(np.isin(runs(host, words), np.array(shared, dtype=np.int64)))
+    marks = np.zeros(len(words) + 1, dtype=np.int64)
+    marks[hit] += 1
+    marks[hit + LEAST_RUN] -= 1  # each run starts and ends once
+    covered, at, out = np.cumsum(marks) > 0, 0, []
+    for block in doubt:
+        part = block.split()
+        if rest := [w for w, c in zip(part, covered[at : at + len(part)]) if not c]:
+            out.append(" ".join(rest))
+        at += len(part)
+    return "\n".join(out)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -178,46 +160,32 @@ def extract(pages: DataFrame) -> DataFrame:
             columns = [pa.array(inside, pa.string()), pa.array(outside, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["page_id", "url", "text", "doubt"])
 
-    def clean(held: list[tuple]) -> list[tuple]:
-        distinct = {tuple(row[3]): i for i, row in enumerate(held)}
-        kept: dict[tuple, list[str]] = {}
-        streams = [[t for block in doubt for t in block.split()] for doubt in distinct]
-        for doubt, covered in zip(distinct, shared_tokens(streams)):
-            at, out = 0, []
-            for block in doubt:
-                words = block.split()
-                rest = [w for w, c in zip(words, covered[at : at + len(words)]) if not c]
-                at += len(words)
-                if rest:
-                    out.append(" ".join(rest))
-            kept[doubt] = out
-        return [(page_id, url, "\n".join(kept[tuple(doubt)])) for _, page_id, url, doubt in held]
-
-    def by_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            ids, urls, found = list(zip(*rows)) or ((), (), ())
-            columns = [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(found, pa.string())]
-            return pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text"])
-
-        held: list[tuple] = []
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(runs(h, [w for b in d for w in b.split()])) for h, d in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist())]
+            row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            run = np.concatenate([*found, np.empty(0, dtype=np.int64)])
+            columns = [pa.array(run), batch.column(1).take(pa.array(row)), batch.column(2).take(pa.array(row))]
+            yield pa.RecordBatch.from_arrays(columns, names=["run", "page", "stream"])
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done: list[tuple] = []
-            for row in zip(*(batch.column(x).to_pylist() for x in ("key", "page_id", "url", "doubt"))):
-                if held and held[0][0] != row[0]:
-                    done.extend(clean(held))
-                    held = []
-                held.append(row)
-            yield out(done)
-        if held:
-            yield out(clean(held))
+            rows = zip(*(batch.column(x).to_pylist() for x in ("host", "doubt", "runs")))
+            text = pa.array([unshared(host, doubt, found or []) for host, doubt, found in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), text], names=["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     parts = stored(rows.mapInArrow(split, "page_id long, url string, text string, doubt array<string>"), "pages")
     sure = parts.filter("size(doubt) = 0").select("page_id", "url", "text")
     doubt = parts.filter("size(doubt) > 0").withColumn("host", F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)))
     doubt = doubt.withColumn("host", F.coalesce("host", F.lit("")))
-    sizes = doubt.groupBy("host").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    keyed = doubt.join(sizes, "host").withColumn("key", F.xxhash64("host", F.pmod(F.xxhash64("doubt"), F.col("groups"))))
-    shards = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.select("key", "page_id", "url", "doubt").repartition(shards, "key").sortWithinPartitions("key", "page_id")
-    return sure.union(dealt.mapInArrow(by_host, EXTRACTED))
+    # Equal streams of a host are one. All steps group by run or stream, none by host.
+    doubt = doubt.withColumn("stream", F.sha2(F.concat_ws("\n", "host", F.array_join("doubt", "\n")), 256))
+    page = F.coalesce("page_id", F.xxhash64("stream"))
+    one = doubt.select("host", page.alias("page"), "stream", "doubt").dropDuplicates(["page", "stream"])
+    occurring = stored(one.mapInArrow(held, "run long, page long, stream string"), "runs")
+    ends = [f(x).alias(f"{n}_{x}") for x in ("page", "stream") for f, n in ((F.min, "min"), (F.max, "max"))]
+    common = occurring.groupBy("run").agg(*ends).filter("min_page < max_page and min_stream < max_stream").select("run")
+    found = occurring.select("run", "stream").distinct().join(common, "run").groupBy("stream").agg(F.collect_list("run").alias("runs"))
+    keyed = doubt.join(found, "stream", "left").select("host", "page_id", "url", "doubt", "runs")
+    return sure.union(keyed.mapInArrow(clean, EXTRACTED))

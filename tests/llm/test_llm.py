@@ -292,3 +292,20 @@ def test_near_dedup_leaves_no_link_behind_refused_pairs(spark):
     reps = spark.createDataFrame(reps, "rep long, th int, sketch binary, prints binary")
     docs = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, th int, text string")
     assert {tuple(sorted(r)) for r in near_dedup.links(reps, docs, 5, 75).collect()} == {(0, 1)}
+
+
+def test_html_drops_a_run_on_two_of_many_pages(spark):
+    """Two pages of a large host share a run; many copies of one page do not make its text boilerplate."""
+    own = lambda i: " ".join(f"w{i}.{k}" for k in range(8))
+    pages = [(i, f"http://h/{i}", f"<p>{own(i)}</p>") for i in range(1700)]
+    for i in (3, 700, 1100, 1500):
+        pages[i] = (i, f"http://h/{i}", f"<p>{own(i)}</p><p>one two three four five six</p>")
+    pages += [(2000 + i, "http://h/copy", f"<p>{own('copy')}</p>") for i in range(50)]
+    pages += [(9, "http://h/again", "<p>again with other words than before</p><p>x</p>"), (9, "http://h/again", "<p>again with other words than before</p><p>y</p>")]
+    pages.append((4000, "http://other/1", "<p>one two three four five six</p>"))
+    out = html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    found = {r.page_id: r.text for r in out if r.page_id != 9}
+    want = {i: own(i) for i in range(1700) if i != 9} | {2000 + i: own("copy") for i in range(50)}
+    assert len(out) == len(pages) and found == want | {4000: "one two three four five six"}
+    again = sorted(r.text for r in out if r.url == "http://h/again")
+    assert again == [f"again with other words than before\n{x}" for x in "xy"]
