@@ -18,11 +18,11 @@ def _stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, least: float = 0.15, max_hops: int = 64) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, least: float = 0.15) -> DataFrame:
     """Best product of scores from each source to each node it reaches with at least `least`.
 
     seeds: source, node, score, edge_id; edges: src, dst, score, edge_id. Only improved nodes go on; of equal scores
-    the fewer hops, then the smaller edge id win. Returns source, node, score, hops, edge_id (the last edge).
+    the fewer hops, then the smaller edge id win. Scores are at most 1, so that it ends on cycles. Returns source, node, score, hops, edge_id (the last edge).
     """
     def best(rows: DataFrame) -> DataFrame:
         chosen = F.min(F.struct((-F.col("score")).alias("s"), "hops", "edge_id")).alias("b")
@@ -30,7 +30,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, least: float = 0.15, max_hops:
 
     known = _stored(best(seeds.select("source", "node", "score", F.lit(1).alias("hops"), "edge_id")))
     frontier = known
-    for _ in range(max_hops):
+    while True:
         step = frontier.join(edges.select(F.col("src").alias("node"), "dst", F.col("score").alias("w"), F.col("edge_id").alias("e")), "node")
         step = step.select("source", F.col("dst").alias("node"), (F.col("score") * F.col("w")).alias("score"), (F.col("hops") + 1).alias("hops"), F.col("e").alias("edge_id"))
         step = best(step.filter(F.col("score") >= least))
@@ -39,7 +39,6 @@ def propagate(seeds: DataFrame, edges: DataFrame, least: float = 0.15, max_hops:
         if frontier.isEmpty():
             return known
         known = _stored(known.join(frontier, ["source", "node"], "left_anti").unionByName(frontier))
-    return known
 
 
 def severity(score: Column) -> Column:

@@ -1,3 +1,5 @@
+from unittest.mock import MagicMock
+
 from pyspark.sql import functions as F
 
 from sluice.functions import text as T
@@ -24,6 +26,15 @@ def test_lineage_takes_the_best_product_and_ends_on_cycles(spark):
     assert found == {"a": (0.9, 1, "e0"), "c": (0.81, 2, "e2"), "b": (0.729, 3, "e3")}
 
 
+def test_lineage_goes_on_until_nothing_improves(spark, monkeypatch):
+    """Stand-ins for tables, as 70 hops of Spark jobs take minutes."""
+    table = MagicMock()
+    table.isEmpty.side_effect = [False] * 70 + [True]
+    monkeypatch.setattr(lineage, "_stored", lambda df: table)
+    lineage.propagate(MagicMock(), MagicMock())
+    assert table.isEmpty.call_count == 71
+
+
 def test_text_scalars(spark):
     row = spark.createDataFrame([("  A  b\tC ", "")], "x string, y string").select(
         T.normalize_text(F.col("x")), T.token_count(F.col("x")), T.token_count(F.col("y")), F.size(T.shingles(F.lit("abcdefa"))), T.preview(F.lit("abcdefgh"), 6)
