@@ -7,6 +7,8 @@ tightest window that takes a piece is the first non-empty leaf at or right of th
 from __future__ import annotations
 
 import functools
+import json
+import os
 import re
 import struct
 import zlib
@@ -23,8 +25,11 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 #: Pieces that are packed together: bounds a task's memory; each block leaves a few windows open at most.
 BLOCK = 25_000
-#: Letters (a-z, and those of U+00C0 to U+00FF) and marks after them, none of them an apostrophe.
-MARKED = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@[-`{-~]+)")
+#: ASCII marks but the apostrophe, and words of letters (a-z, and those of U+00C0 to U+00FF).
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Words that are looked up together.
+GROUP = 600_000
 
 
 class OpenWindows:
@@ -77,19 +82,35 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], l
     return windows, offsets, made
 
 
+def splits_words(config: dict) -> bool:
+    """Whether a tokenizer, by its file, is one whose ids WordIds can put together from words: it lower-cases after
+    nothing but NFC and white space, and its split keeps letters and marks apart and drops white space."""
+    parts = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    steps = [x.get("type") for x in (config.get("normalizer") or {}).get("normalizers") or []]
+    pattern = (parts[0].get("pattern") or {}).get("Regex", "")
+    drops = parts[0].get("behavior") == "Removed" and parts[0].get("invert") is True
+    whole = [x.get("type") for x in parts[1:]] == ["ByteLevel"] and parts[1].get("use_regex") is False and parts[1].get("add_prefix_space") is False
+    kept_apart = r"[\p{L}]+" in pattern and r"[^\s\p{L}\p{N}]+" in pattern
+    return steps == ["NFC", "Replace", "Lowercase"] and drops and whole and kept_apart and not config.get("post_processor")
+
+
 class WordIds(dict):
     """word -> its token ids as little-endian bytes; words are what lies between ASCII white space.
 
-    The tokenizer's own split never crosses white space, so a text's ids are its words' ids one after another. Words
-    are kept in two generations of `remembered` each at most: when the young one is full it becomes the old one, and
-    the words met again move back to the young one, so that rare words go and frequent ones stay.
+    The tokenizer's own split never crosses white space, so a text's ids are its words' ids one after another; for a
+    tokenizer that may split otherwise (see splits_words) whole texts are encoded instead. Words are kept in two
+    generations of `remembered` each at most: when the young one is full it becomes the old one, and the words met
+    again move back to the young one, so that rare words go and frequent ones stay.
     """
 
     def __init__(self, path: str, remembered: int = 500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.remembered, self.old = Tokenizer.from_file(path), remembered, {}
+        with open(path, encoding="utf-8") as file:
+            self.by_word = splits_words(json.load(file))
 
     def learn(self, words: set[bytes]) -> None:
         """Make sure that all these words are known."""
@@ -100,14 +121,15 @@ class WordIds(dict):
             new = words
         new = self._moved(new)
         # A word of letters with marks after it is split there by the tokenizer too.
-        split = {w: m.groups() for w in new if (m := MARKED.fullmatch(w))}
-        whole = list(self._moved(new.difference(split).union(*split.values()).difference(self)))
+        split = {w: n for w in new if 0 < (n := len(w.rstrip(MARKS))) < len(w) and LETTERS.fullmatch(w, 0, n)}
+        parts = {w[:n] for w, n in split.items()} | {w[n:] for w, n in split.items()}
+        whole = list(self._moved(new.difference(split).union(parts).difference(self)))
         coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in whole], add_special_tokens=False)
         for word, e in zip(whole, coded):
             ids = e.ids
             self[word] = struct.pack(f"<{len(ids)}I", *ids)
-        for word, (letters, marks) in split.items():
-            self[word] = self[letters] + self[marks]
+        for word, n in split.items():
+            self[word] = self[word[:n]] + self[word[n:]]
 
     def _moved(self, words: set[bytes]) -> set[bytes]:
         """Take words of the old generation over; those that are left are in neither."""
@@ -117,13 +139,17 @@ class WordIds(dict):
         self.update((w, self.old[w]) for w in found)
         return words.difference(found)
 
-    @staticmethod
-    def words(text: bytes) -> list[bytes]:
+    def words(self, text: bytes) -> list[bytes]:
         """The tokenizer lower-cases; doing so for A-Z first leaves fewer words. Its special tokens keep their case."""
+        if not self.by_word:
+            return [text]
         return (text if b"<|" in text else text.translate(LOWER)).split()
 
     def ids(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.__getitem__, words))
+        if self.by_word:
+            return b"".join(map(self.__getitem__, words))
+        ids = self.tokenizer.encode(words[0].decode("utf-8", "replace"), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @functools.cache
@@ -147,7 +173,8 @@ def pieces(documents: DataFrame, tokenizer_path: str, length: int = 4096, end_id
 
             def flush() -> None:
                 nonlocal at, group
-                known.learn({w for words in group for w in words})
+                if known.by_word:
+                    known.learn({w for words in group for w in words})
                 for words in group:
                     ids = known.ids(words) + last
                     n = len(ids) // 4
@@ -160,8 +187,8 @@ def pieces(documents: DataFrame, tokenizer_path: str, length: int = 4096, end_id
             held = 0
             for text in byte_rows(batch.column(1)):
                 group.append(known.words(text or b""))
-                held += len(group[-1])
-                if held > 200_000:
+                held += len(group[-1]) if known.by_word else GROUP
+                if held >= GROUP:
                     flush()
                     held = 0
             flush()
