@@ -8,6 +8,7 @@ good documents and how often each rule is right on good and on bad ones. A docum
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,38 +57,39 @@ def _count(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def measures(documents: DataFrame, *more: Column) -> DataFrame:
-    """doc_id, what the rules look at, over whole texts, and more columns. A null text has no words, lines or characters."""
-    docs = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more
-    )
-    names = docs.columns[2:]
-    has_word = F.length(F.translate(F.col("text"), SPACE, "")) > 0
-    split = docs.select(
-        "doc_id",
-        "text",
-        F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != "").alias("words"),
-        F.when(has_word, F.filter(F.split("text", "\n"), lambda x: ~x.rlike("^[ \\t-\\r]*$"))).otherwise(F.array().cast("array<string>")).alias("lines"),
-        *names,
-    )
-    return split.select(
-        "doc_id",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate(F.col("text"), SPACE, "")).cast("long").alias("word_chars"),
-        _count(F.col("text"), "#*$%&|<>").cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
-        F.size("lines").cast("long").alias("n_lines"),
-        F.regexp_count(F.col("text"), F.lit(r"([#*$%&|<>])\1")).cast("long").alias("n_runs"),
-        _count(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_capitals"),
-        _count(F.col("text"), "!").cast("long").alias("n_shouts"),
-        _count(F.col("text"), ".?").cast("long").alias("n_stops"),
-        *names,
-    )
-
-
-def votes(rules: dict[str, tuple[str, str]] = RULES) -> Column:
-    return F.array(*(F.expr(f"case when {good} then 1 when {bad} then -1 else 0 end") for good, bad in rules.values()))
+def _measured(text: Column) -> Column:
+    """A struct of what the rules look at, with words and lines split once."""
+    bare = F.translate(text, SPACE, "")
+    words = F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike("^[ \\t-\\r]*$"))
+    lines = F.when(F.length(bare) > 0, lines).otherwise(F.array().cast("array<string>"))
+
+    def all_of(w: Column, x: Column) -> Column:
+        found = {
+            "n_words": F.size(w),
+            "word_chars": F.length(bare),
+            "n_symbols": _count(text, "#*$%&|<>"),
+            "n_dup_lines": F.size(x) - F.size(F.array_distinct(x)),
+            "n_repeat_words": repeated_words(w),
+            "n_lines": F.size(x),
+            "n_runs": F.regexp_count(text, F.lit(r"([#*$%&|<>])\1")),
+            "n_capitals": _count(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+            "n_shouts": _count(text, "!"),
+            "n_stops": _count(text, ".?"),
+        }
+        return F.struct(*(value.cast("long").alias(name) for name, value in found.items()))
+
+    return _let(words, lambda w: _let(lines, lambda x: all_of(w, x)))
+
+
+def measures(documents: DataFrame) -> DataFrame:
+    """doc_id and what the rules look at, over whole texts. A null text has no words, lines or characters."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), _measured(text).alias("m")).select("doc_id", "m.*")
+
+
+def votes(rules: dict[str, tuple[str, str]] = RULES) -> str:
+    return f"array({', '.join(f'case when {good} then 1 when {bad} then -1 else 0 end' for good, bad in rules.values())})"
 
 
 def estimate(measured: DataFrame, rules: dict[str, tuple[str, str]] = RULES) -> tuple[float, list[float], list[float]]:
@@ -97,7 +99,7 @@ def estimate(measured: DataFrame, rules: dict[str, tuple[str, str]] = RULES) ->
     Everything happens in one expression over one row of at most 3 ** rules patterns. Bounds keep rules from turning
     round or ruling alone; 20 imagined votes steady them; without documents the first guesses return.
     """
-    patterns = measured.select(votes(rules).alias("v")).groupBy("v").agg(F.count("*").cast("double").alias("n"))
+    patterns = measured.select(F.expr(votes(rules)).alias("v")).groupBy("v").agg(F.count("*").cast("double").alias("n"))
     all_patterns = patterns.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("t"))
     # The arrays of logarithms: what a vote for, and a vote against, say for good.
     expect = """transform(t, x -> named_struct('v', x.v, 'n', x.n, 'q', 1D / (1D + exp(-(ln(p.prior / (1D - p.prior)) +
@@ -115,28 +117,31 @@ def estimate(measured: DataFrame, rules: dict[str, tuple[str, str]] = RULES) ->
     return model["prior"], [r["good"] for r in model["rule"]], [r["bad"] for r in model["rule"]]
 
 
-def posterior(prior: float, good: list[float], bad: list[float]) -> Column:
+def posterior(votes: str, prior: float, good: list[float], bad: list[float]) -> str:
     """Probability that a document is good, given its votes."""
     says = [f"struct({math.log(g / (1 - b))}D as yes, {math.log((1 - g) / b)}D as no)" for g, b in zip(good, bad)]
-    each = f"zip_with(votes, array({', '.join(says)}), (v, s) -> case v when 1 then s.yes when -1 then s.no else 0D end)"
-    return F.expr(f"1D / (1D + exp(-({math.log(prior / (1 - prior))}D + aggregate({each}, 0D, (a, b) -> a + b))))")
+    each = f"zip_with({votes}, array({', '.join(says)}), (v, s) -> case v when 1 then s.yes when -1 then s.no else 0D end)"
+    return f"1D / (1D + exp(-({math.log(prior / (1 - prior))}D + aggregate({each}, 0D, (a, b) -> a + b))))"
 
 
-def verdict(measured: DataFrame, model: tuple[float, list[float], list[float]], least: float, rules: dict[str, tuple[str, str]]) -> DataFrame:
-    judged = measured.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
-    judged = judged.withColumn("votes", votes(rules)).withColumn("quality", posterior(*model))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
+#: Too short or too repetitive: rejected whatever the rules say.
+BASE_FAILED = "(n_words < 10 or 100 * n_repeat_words > 20 * n_words)"
 
 
 def judge(documents: DataFrame, least: float = 0.5, rules: dict[str, tuple[str, str]] = RULES) -> DataFrame:
     """doc_id, the measures, base_failed (too short, or too repetitive: rejected at once), quality (posterior
     probability) and kept. Null and repeated ids stay as they are; no documents give no rows."""
     measured = stored(measures(documents), "measures")
-    return verdict(measured, estimate(measured, rules), least, rules)
+    judged = measured.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("quality", F.expr(posterior(votes(rules), *estimate(measured, rules))))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
 
 
 def keep(documents: DataFrame, least: float = 0.5, rules: dict[str, tuple[str, str]] = RULES) -> DataFrame:
-    """The documents that judge() keeps, with all their columns. Measures twice rather than move texts."""
+    """The documents that judge() keeps, with all their columns. Measures twice rather than move or copy texts: once to
+    fit the model, once in the filter, whose condition holds all measures in one struct so that they are taken once."""
     model = estimate(measures(documents), rules)
-    measured = measures(documents, F.struct("*").alias("carried"))
-    return verdict(measured, model, least, rules).filter("kept").select("carried.*")
+    holds = f"not {BASE_FAILED} and {posterior(votes(rules), *model)} >= {least}D"
+    within = re.sub(r"\b(n_[a-z_]+|word_chars)\b", r"m.\1", holds)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = documents.select(F.struct("*").alias("carried"), F.array(_measured(text)).alias("measured"))
+    return rows.filter(f"transform(measured, m -> {within})[0]").select("carried.*")
