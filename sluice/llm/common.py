@@ -23,9 +23,12 @@ REMEMBERED = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset in a local session (tests),
+    one of our own; on a cluster no local folder would do, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="sluice-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -38,21 +41,22 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     df.write.parquet(path)
     gc.collect()
     spark._jvm.System.gc()  # lets Spark delete shuffle files that nothing needs any more
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the table that stored() wrote for df."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that stored() wrote, once all that reads them has been written."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(df: DataFrame, *more: Column) -> DataFrame:
     """doc_id and text (null: empty), and th, a text hash that tells apart rows that repeat a doc_id."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("th"), text.alias("text"), *more)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"), *more)
 
 
 def carried(df: DataFrame) -> list[Column]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import LOWER, Rolling, WordHashes, byte_rows, mix, stored, texts
+from sluice.llm.common import LOWER, Rolling, WordHashes, byte_rows, discard, mix, stored, texts
 from sluice.llm.substring_dedup import arrays
 
 #: Minwise tokens that a node can choose among.
@@ -40,7 +40,7 @@ BLOCK = 1024
 STAYS = 0.75**2
 #: Sketch similarity below the threshold at which a pair is still confirmed on full sets (over four deviations).
 SLACK = 0.0875
-SKETCHES = "doc_id long, th int, n_shingles long, f1 long, f2 long, sketch binary, prints binary"
+SKETCHES = "doc_id long, th long, n_shingles long, f1 long, f2 long, sketch binary, prints binary"
 
 
 def shingles(text: bytes, size: int, hashes: WordHashes, rolling: Rolling) -> np.ndarray:
@@ -265,10 +265,12 @@ def united(nodes: DataFrame, threshold: int) -> DataFrame:
 def meetings(reps: DataFrame, trees: int = TREES) -> DataFrame:
     """(node, side, rep) for every small node, or cell of a large one, where some tree brings documents together: every
     two documents of a node share one cell in which their sides differ or are -1. reps: rep, sketch."""
-    rows, found = descend(reps.withColumn("n", F.lit(2**62)), trees), []
+    rows, found, tables = descend(reps.withColumn("n", F.lit(2**62)), trees), [], []
     for level in range(ROUNDS):
         rows = stored(rows, "nodes")
+        tables.append(rows)
         sizes = stored(rows.groupBy("node").agg(F.count("*").alias("n"), F.max("parent").alias("m")).filter("n > 1"), "sizes")
+        tables.append(sizes)
         large = F.col("n") > SMALL
         ends = F.lit(level == ROUNDS - 1) | (F.col("n") >= STAYS * F.col("m"))
         rows = rows.drop("parent")
@@ -286,7 +288,9 @@ def meetings(reps: DataFrame, trees: int = TREES) -> DataFrame:
     nodes = found[0]
     for more in found[1:]:
         nodes = nodes.union(more)
-    return nodes.distinct()
+    nodes = stored(nodes.distinct(), "cells")
+    discard(*tables)
+    return nodes
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -323,8 +327,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def links(reps: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
     """Confirmed links whose components are those of all links. reps: rep, th, sketch, prints; docs: doc_id, th, text."""
     least = threshold / 100 - SLACK
-    nodes = meetings(reps.select("rep", "sketch"))
-    nodes = stored(nodes.join(reps, "rep").select("node", "side", "rep", "prints"), "meetings")
+    cells = meetings(reps.select("rep", "sketch"))
+    nodes = stored(cells.join(reps, "rep").select("node", "side", "rep", "prints"), "meetings")
+    discard(cells)
     first = stored(compare(nodes, least), "pairs")
     # Who meets nobody so similar in the first pass does not in the second.
     named = reps.join(first.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep").select("rep", "th")
@@ -332,11 +337,15 @@ def links(reps: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFr
     wanted = docs.withColumnRenamed("doc_id", "rep").join(named, ["rep", "th"]).dropDuplicates(["rep", "th"])
     sets = stored(shingle_sets(wanted, size), "sets")
     met = stored(confirmed(first, sets, threshold), "met")
-    label = named.select("rep").distinct().join(components(met).withColumnRenamed("node", "rep"), "rep", "left")
+    closed = components(met)
+    label = named.select("rep").distinct().join(closed.withColumnRenamed("node", "rep"), "rep", "left")
     label = stored(label.select("rep", F.coalesce("label", "rep").alias("label")), "label")
     again = nodes.join(label, "rep").select("node", "side", "rep", "label", "prints")
     open_rows = stored(undecided(again, least), "undecided")
-    return met.union(united(open_rows.join(sets, "rep").select("node", "side", "rep", "label", "s"), threshold))
+    discard(nodes, first, named, closed, label)
+    found = stored(met.union(united(open_rows.join(sets, "rep").select("node", "side", "rep", "label", "s"), threshold)), "found")
+    discard(met, sets, open_rows)
+    return found
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -351,11 +360,13 @@ def components(pairs: DataFrame) -> DataFrame:
         up = stored(edges.groupBy("b").agg(F.min("a").alias("a")), "up")
         above = up.select(F.col("b").alias("a"), F.col("a").alias("top"))
         moves = stored(up.join(above, "a", "left").select(F.col("b").alias("label"), F.coalesce("top", "a").alias("to")), "moves")
-        labels = stored(labels.join(moves, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        old, labels = labels, stored(labels.join(moves, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
         x = moves.select(F.col("label").alias("a"), F.col("to").alias("x"))
         y = moves.select(F.col("label").alias("b"), F.col("to").alias("y"))
         left = edges.join(x, "a", "left").join(y, "b").select(F.coalesce("x", "a").alias("x"), "y").filter("x <> y")
-        edges = stored(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        done, edges = edges, stored(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        discard(up, moves, old, done)
+    discard(edges)
     return labels
 
 
@@ -371,14 +382,17 @@ def near_duplicates(documents: DataFrame, size: int = 5, threshold: int = 75) ->
     classes = sketched.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2")
     classes = stored(classes.agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("sketch").alias("sketch"), F.first("prints").alias("prints")), "classes")
     reps = classes.select(F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th"), "sketch", "prints")
-    labels = components(links(reps, docs, size, threshold))
+    joined = links(reps, docs, size, threshold)
+    labels = components(joined)
     rep = classes.select("f1", "f2", F.col("r.doc_id").alias("node")).join(labels, "node", "left")
     rep = rep.select("f1", "f2", F.coalesce("label", "node").alias("component"))
-    ids = sketched.filter("doc_id is not null").select("doc_id", "th", "n_shingles", "f1", "f2")
+    ids = sketched.select("doc_id", "th", "n_shingles", "f1", "f2")
     # A doc_id's rows of several texts belong together: their classes share the id.
-    out = ids.filter("n_shingles > 0").join(rep, ["f1", "f2"]).select("doc_id", "th", "n_shingles", F.least("component", "doc_id").alias("component_id"))
-    rest = sketched.filter("n_shingles = 0 or doc_id is null").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = out.union(rest)
+    out = ids.filter("n_shingles > 0 and doc_id is not null").join(rep, ["f1", "f2"])
+    out = out.select("doc_id", "th", "n_shingles", F.least("component", "doc_id").alias("component_id"))
+    rest = ids.filter("n_shingles = 0 or doc_id is null").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = stored(out.union(rest), "duplicates")
+    discard(sketched, classes, joined, labels)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -387,5 +401,5 @@ def keep_one(documents: DataFrame, size: int = 5, threshold: int = 75) -> DataFr
     repeated rows one stays, too; rows without doc_id all stay."""
     kept = near_duplicates(documents, size, threshold).filter("kept and doc_id is not null").select("doc_id", "th").distinct()
     rows = texts(documents, F.struct("*").alias("carried")).select("doc_id", "th", "carried")
-    named = rows.join(stored(kept, "kept"), ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
+    named = rows.join(kept, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
     return named.union(rows.filter("doc_id is null")).select("carried.*")

@@ -28,8 +28,8 @@ SHALLOW = 8
 BUCKET = 65_536
 #: Cells (distance, context) that are handled together.
 CELLS = 1 << 20
-SPANS = "doc_id long, th int, s int, e int"
-SHOWN = "w long, v long, doc_id long, th int, pos int"
+SPANS = "doc_id long, th long, s int, e int"
+SHOWN = "w long, v long, doc_id long, th long, pos int"
 KEPT = "doc_id long, n_bytes long, removed array<long>, kept_bytes binary"
 
 
@@ -225,12 +225,12 @@ def remove_repeated_bytes(documents: DataFrame, width: int = 200) -> DataFrame:
                     at = p["pos"]
                     before, after = text[max(0, at - reach) : at][::-1], text[at + GRAM : at + GRAM + reach]
                     rows.append((p["h"], p["m"], p["n"], doc_ids[i], ths[i], at, before, after))
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()] * 2
+            kinds = [pa.int64()] * 5 + [pa.int32()] + [pa.binary()] * 2
             columns = list(zip(*rows)) or [()] * 8
             names = ["h", "m", "n", "doc_id", "th", "pos", "before", "after"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    schema = "h long, m long, n long, doc_id long, th int, pos int, before binary, after binary"
+    schema = "h long, m long, n long, doc_id long, th long, pos int, before binary, after binary"
     marked = docs.join(todo, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "text", "check")
     shown = stored(marked.filter("size(check) > 0").mapInArrow(show, schema), "shown")
 
@@ -243,7 +243,7 @@ def remove_repeated_bytes(documents: DataFrame, width: int = 200) -> DataFrame:
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(found: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*found)) or [()] * 4
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             names = ["doc_id", "th", "s", "e"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
