@@ -1,10 +1,11 @@
 """Substring deduplication over a log-structured index of fingerprints.
 
 A window is `width` consecutive words. Its fingerprints are the hashes of its k-word grams that are smallest among any
-width - k + 1 in a row: every window holds one, and equal windows hold the same ones. The index keeps the fingerprints
-of all documents so far as sorted, immutable runs. A new batch is sorted into a run, merge-joined with the older runs,
-and runs are compacted when there are too many. Fingerprints met twice lead to the places to verify: there, first whole
-contexts (all windows around a fingerprint) are compared, then single windows.
+width - k + 1 in a row: every window holds one, and equal windows hold the same ones. RepeatIndex keeps those of all
+batches so far as sorted, immutable runs. A new batch becomes a run, which is merge-joined with the older ones; runs
+are compacted when there are too many. Fingerprints met twice lead to the places to look at: there, first whole contexts
+(all windows around a fingerprint) are compared by hash, then single windows. What is found is a pair of spans, one in
+the new batch and one in an earlier document; a span goes only if its words equal those of the other.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from sluice.llm.common import (
     WordHashes,
     byte_rows,
     carried,
+    discard,
     local_minima,
     merged,
     shared_folder,
@@ -32,8 +34,13 @@ from sluice.llm.common import (
 
 #: Words in a fingerprinted gram.
 GRAM = 8
-PRINTS = "h long, c long, doc_id long, th int, pos int"
-WINDOWS = "w long, v int, doc_id long, th int, pos int"
+PRINTS = "h long, c long, doc_id long, th long, pos int"
+WINDOWS = "w long, v int, doc_id long, th long, pos int, new int"
+#: Spans that one row takes at most.
+TOGETHER = 256
+SPAN = [("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("least_s", pa.int32())]
+SPANS = "least_doc long, least_th long, spans array<struct<doc_id:long,th:long,s:int,e:int,least_s:int>>"
+SAID = "doc_id long, th long, s int, e int, words binary"
 KEPT = "doc_id long, text string, n_words long, removed array<long>, kept_text binary"
 
 
@@ -44,38 +51,79 @@ def contexts(rolling: Rolling, h: np.ndarray, at: np.ndarray, reach: int, length
     return rolling.load(np.concatenate((edge, h, edge))).windows(2 * reach + length, at)
 
 
-class FingerprintIndex:
-    """Runs of (h, n): how many places of all batches so far hold fingerprint h; bucketed and sorted by h."""
+class RepeatIndex:
+    """What earlier batches hold, as runs, and the repeats of a new one in it.
 
-    def __init__(self, spark: SparkSession, max_runs: int = 2):
-        self.spark, self.max_runs, self.runs = spark, max_runs, []
+    A run of fingerprints has (h, n): how many places of its batches hold fingerprint h, bucketed and sorted by h, so
+    that two runs are merge-joined without a shuffle. A run of places has (h, c, doc_id, th, pos), with the hash c of
+    the place's context. Texts of earlier batches are looked up only where fingerprints meet.
+    """
+
+    def __init__(self, spark: SparkSession, width: int = 50, max_runs: int = 2):
+        self.spark, self.width, self.max_runs = spark, width, max_runs
+        self.runs: list[str] = []
+        self.places: list[DataFrame] = []
+        self.texts: list[DataFrame] = []
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    def add(self, batch: DataFrame, copy: bool = True) -> DataFrame:
+        """Add a batch and return its repeats (doc_id, th, s, e, words): spans of words covered by windows that also
+        start in a document with a smaller doc_id, of this batch or an earlier one, and the words found there.
+
+        Rows without doc_id are not indexed. copy: keep the batch's texts as a table; without it, the batch must stay
+        readable as long as the index is used. Documents that an earlier batch brought are not looked at again, so bring
+        batches in the order of doc_id.
+        """
+        docs = texts(batch).filter("doc_id is not null")
+        if not docs.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
+            docs = stored(docs.dropDuplicates(["doc_id", "th"]), "texts")  # repeated rows are one document
+        elif copy:
+            docs = stored(docs, "texts")
+        places = stored(fingerprints(docs, self.width), "places")
+        met = self._met(places)
+        seen = places.withColumn("new", F.lit(1))
+        for old in self.places:
+            seen = seen.union(old.withColumn("new", F.lit(0)))
+        self.places.append(places)
+        self.texts.append(docs)
+        # Places whose fingerprint occurs twice; of earlier batches only for fingerprints of this one.
+        close = stored(seen.join(met, "h", "left_semi"), "met")
+        discard(met)
+        found = self._said(self._spans(close))
+        discard(close)
+        return found
+
+    def close(self) -> None:
+        """Delete the runs and places."""
+        for run in self.runs:
+            self._drop(run)
+        discard(*self.places, *(t for t in self.texts if hasattr(t, "stored_at")))
+        self.runs, self.places, self.texts = [], [], []
+
     def _write(self, rows: DataFrame) -> str:
         name = f"fingerprints_{uuid.uuid4().hex}"
         path = f"{shared_folder(self.spark).rstrip('/')}/{name}"
-        out = rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", path)
-        out.saveAsTable(name)
+        rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
         return name
 
-    def ingest(self, prints: DataFrame) -> DataFrame:
-        """Add a batch's fingerprints as a run; return those that more than one place holds, old or new."""
-        new = self._write(prints.groupBy("h").agg(F.count("*").alias("n")).repartition(self.buckets, "h"))
-        hits = self.spark.table(new).filter("n > 1").select("h")
+    def _met(self, places: DataFrame) -> DataFrame:
+        """Fingerprints h of a batch that occur twice in it, or once and in an earlier batch; the batch becomes a run."""
+        if len(self.runs) >= self.max_runs:
+            self._compact()
+        new = self._write(places.groupBy("h").agg(F.count("*").alias("n")))
+        met = self.spark.table(new).filter("n > 1").select("h")
         for run in self.runs:
-            hits = hits.union(self.spark.table(new).select("h").join(self.spark.table(run).select("h"), "h"))
-        hits = stored(hits, "hits")
+            met = met.union(self.spark.table(new).select("h").join(self.spark.table(run).select("h"), "h"))
+        met = stored(met.distinct(), "hits")
         self.runs.append(new)
-        if len(self.runs) >= self.max_runs:
-            self.compact()
-        return hits
+        return met
 
-    def compact(self) -> None:
+    def _compact(self) -> None:
         """Merge all runs into one."""
         rows = self.spark.table(self.runs[0])
         for run in self.runs[1:]:
             rows = rows.union(self.spark.table(run))
-        old, self.runs = self.runs, [self._write(rows.groupBy("h").agg(F.sum("n").alias("n")).repartition(self.buckets, "h"))]
+        old, self.runs = self.runs, [self._write(rows.groupBy("h").agg(F.sum("n").alias("n")))]
         for run in old:
             self._drop(run)
 
@@ -84,10 +132,90 @@ class FingerprintIndex:
         self.spark.sql(f"drop table {run}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def close(self) -> None:
-        for run in self.runs:
-            self._drop(run)
-        self.runs = []
+    def _all_texts(self) -> DataFrame:
+        docs = self.texts[0]
+        for more in self.texts[1:]:
+            docs = docs.union(more)
+        return docs
+
+    def _spans(self, close: DataFrame) -> DataFrame:
+        """(SPANS) of the new batch, each with an equal one of a smaller document, by hashes; by that document. The same
+        context in a smaller document: all its windows. Of contexts that share only the fingerprint, all places in the
+        smallest document of each show their windows, one by one."""
+        width, reach = self.width, self.width - GRAM
+        least = [F.col(f"least.{x}").alias(f"least_{x}") for x in ("doc_id", "th", "pos")]
+        first = stored(close.groupBy("h", "c").agg(F.min(F.struct("doc_id", "th", "pos")).alias("least")).select("h", "c", *least), "first")
+        several = first.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", F.lit(True).alias("several"))
+        several = stored(several, "several")
+        named = stored(first.join(several, "h", "left"), "named")
+        placed = stored(close.join(named, ["h", "c"]), "placed")
+        whole = placed.filter("new = 1 and least_doc_id < doc_id").select("doc_id", "th", "pos", "least_doc_id", "least_th", "least_pos")
+        check = placed.filter("several and least_doc_id = doc_id").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("check"), F.max("new").alias("new"))
+
+        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes, one, two = WordHashes(), Rolling(5), Rolling(6)
+            for batch in batches:
+                out, (doc_ids, ths, _, _, new), checks = [], (x.to_numpy(zero_copy_only=False) for x in batch.columns), batch.column(3)
+                for i, text in enumerate(byte_rows(batch.column(2))):
+                    words = text.split()
+                    at = np.sort(checks[i].values.to_numpy().astype(np.int64))
+                    spans = merged(np.maximum(at - reach, 0), np.minimum(at, len(words) - width) + 1)
+                    at = np.concatenate([np.arange(s, e) for s, e in zip(*spans)])
+                    h, n = hashes.of(words), len(at)
+                    w, v = one.load(h).windows(width, at), two.load(h).windows(width, at)
+                    out.append((w, (v >> np.uint64(33)).astype(np.int64), np.full(n, doc_ids[i]), np.full(n, ths[i]), at, np.full(n, new[i])))
+                yield arrays(out, WINDOWS)
+
+        shown = stored(self._all_texts().join(check, ["doc_id", "th"]).mapInArrow(windows, WINDOWS), "windows")
+        equal = shown.groupBy("w", "v").agg(F.min(F.struct("doc_id", "th", "pos")).alias("least"), F.max("doc_id").alias("most"))
+        equal = stored(equal.filter("least.doc_id < most").select("w", "v", *least), "equal")
+        single = shown.filter("new = 1").join(equal, ["w", "v"]).filter("least_doc_id < doc_id").select(*whole.columns)
+        rows = whole.withColumn("whole", F.lit(True)).union(single.withColumn("whole", F.lit(False)))
+        pairs = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("least_doc_id", "least_th", "pos", "least_pos", "whole")).alias("pairs"))
+
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Neighbours that lie equally far apart in both documents become one span."""
+            for batch in batches:
+                by_least: dict[tuple[int, int], list[dict]] = {}
+                for doc_id, th, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                    other, other_th, pos, least_pos, whole = (x.to_numpy(zero_copy_only=False) for x in found.values.flatten())
+                    apart = least_pos.astype(np.int64) - pos
+                    s = np.where(whole, pos - reach, pos).astype(np.int64)
+                    order = np.lexsort((s, apart, other_th, other))
+                    s, e, apart, other, other_th = s[order], pos[order].astype(np.int64) + width, apart[order], other[order], other_th[order]
+                    parts = np.flatnonzero((other[1:] != other[:-1]) | (other_th[1:] != other_th[:-1]) | (apart[1:] != apart[:-1])) + 1
+                    for at, to in zip([0, *parts.tolist()], [*parts.tolist(), len(s)]):
+                        here = by_least.setdefault((int(other[at]), int(other_th[at])), [])
+                        for x, y in zip(*merged(s[at:to], e[at:to])):
+                            here.append({"doc_id": doc_id, "th": th, "s": int(x), "e": int(y), "least_s": int(x + apart[at])})
+                out = [(*key, spans[i : i + TOGETHER]) for key, spans in by_least.items() for i in range(0, len(spans), TOGETHER)]
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct(SPAN))]
+                columns = list(zip(*out)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["least_doc", "least_th", "spans"])
+
+        spans = stored(pairs.mapInArrow(join, SPANS), "spans")
+        discard(first, several, named, placed, shown, equal)
+        return spans
+
+    def _said(self, spans: DataFrame) -> DataFrame:
+        """(SAID) the spans, cut to their texts' ends, with the words of the other document's span."""
+
+        def say(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for text, found in zip(byte_rows(batch.column(1), 16), batch.column(0)):
+                    rows, words = [], text.split()
+                    for x in found.as_py():
+                        # A context may reach over its text's start, and over its end.
+                        cut = max(0, -x["s"], -x["least_s"])
+                        part = words[x["least_s"] + cut : x["least_s"] + x["e"] - x["s"]]
+                        rows.append((x["doc_id"], x["th"], x["s"] + cut, x["s"] + cut + len(part), b" ".join(part)))
+                    kinds = [kind for _, kind in SPAN[:4]] + [pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "th", "s", "e", "words"])
+
+        docs = self._all_texts().select(F.col("doc_id").alias("least_doc"), F.col("th").alias("least_th"), "text")
+        out = stored(spans.join(docs, ["least_doc", "least_th"]).select("spans", "text").mapInArrow(say, SAID), "said")
+        discard(spans)
+        return out
 
 
 def fingerprints(docs: DataFrame, width: int, gram: int = GRAM) -> DataFrame:
@@ -123,90 +251,38 @@ def arrays(rows: list[tuple[np.ndarray, ...]], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
 
 
-def remove_repeats(documents: DataFrame, width: int = 50, batches: int = 2) -> DataFrame:
+def remove_repeats(documents: DataFrame, width: int = 50, batches: int = 3) -> DataFrame:
     """Remove every word covered by a window that also starts in a document with a smaller doc_id.
 
-    Documents come in batches of rising doc_id. Returns doc_id, text, n_words, removed (spans of words, flat: start,
-    end, start, ...) and kept_text (the other words joined by one space, as UTF-8). A null text has no words. Rows
-    without doc_id have no place in the order: they are neither searched nor changed. A row that repeats another whole
-    row is the same document.
+    Documents come to the index in batches of rising doc_id. Returns doc_id, text, n_words, removed (spans of words,
+    flat: start, end, start, ...) and kept_text (the other words joined by one space, as UTF-8). A null text has no
+    words. Rows without doc_id have no place in the order: they are neither searched nor changed. A row that repeats
+    another whole row is the same document. Should hashes of different words be equal, the words stay.
     """
     spark = documents.sparkSession
-    docs = texts(documents)
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    low, high = texts(documents).agg(F.min("doc_id"), F.max("doc_id")).first()
     cuts = [] if low is None else [low + (high - low) * i // batches for i in range(1, batches)]
-    index, hits = FingerprintIndex(spark), []
+    index, found = RepeatIndex(spark, width), []
+    doc_id = F.col("doc_id").cast("long")
     for i in range(len(cuts) + 1):
-        part = docs.filter(F.col("doc_id") > cuts[i - 1]) if i else docs
-        part = part.filter(F.col("doc_id") <= cuts[i]) if i < len(cuts) else part
-        hits.append(index.ingest(fingerprints(part, width)))
+        part = documents.filter(doc_id > cuts[i - 1]) if i else documents
+        part = part.filter(doc_id <= cuts[i]) if i < len(cuts) else part
+        found.append(index.add(part, copy=False))
     index.close()
-    met = hits[0]
-    for h in hits[1:]:
-        met = met.union(h)
-    places = stored(fingerprints(docs, width).join(met.distinct(), "h", "left_semi"), "places")
-
-    # The same context in a smaller document: all its windows go. Else the first place of each of several contexts of
-    # one fingerprint shows its windows, one by one.
-    first = places.groupBy("h", "c").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"))
-    first = stored(first.select("h", "c", "first.*"), "first")
-    whole = places.join(first.select("h", "c", F.col("doc_id").alias("least")), ["h", "c"]).filter("least < doc_id")
-    several = first.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    check = first.join(several, "h", "left_semi")
-    todo = stored(
-        whole.select("doc_id", "th", "pos", F.lit(True).alias("whole"))
-        .union(check.select("doc_id", "th", "pos", F.lit(False)))
-        .groupBy("doc_id", "th")
-        .agg(
-            F.collect_set(F.expr("case when whole then pos end")).alias("whole"),
-            F.collect_set(F.expr("case when not whole then pos end")).alias("check"),
-        ),
-        "todo",
-    )
-    reach = width - GRAM
-
-    def starts(places, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Spans of the starts of all windows of a text of n words that hold a gram at one of these places."""
-        at = np.sort(np.asarray(places, dtype=np.int64))
-        return merged(np.maximum(at - reach, 0), np.minimum(at, n - width) + 1)
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, one, two = WordHashes(), Rolling(5), Rolling(6)
-        for batch in batches:
-            out, doc_ids, ths = [], batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            sure, check = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            for i, text in enumerate(byte_rows(batch.column(2))):
-                words = text.split()
-                n = len(words) - width + 1
-                show = np.zeros(n, dtype=bool)
-                for s, e in zip(*starts(check[i], len(words))):
-                    show[s:e] = True
-                for s, e in zip(*starts(sure[i], len(words))):
-                    show[s:e] = False
-                at = np.flatnonzero(show)
-                if len(at):
-                    h = hashes.of(words)
-                    w, v = one.load(h).windows(width, at), two.load(h).windows(width, at)
-                    out.append((w, (v >> np.uint64(33)).astype(np.int64), np.full(len(at), doc_ids[i]), np.full(len(at), ths[i]), at))
-            yield arrays(out, WINDOWS)
-
-    marked = docs.join(todo, ["doc_id", "th"])
-    shown = marked.filter("size(check) > 0").mapInArrow(windows, WINDOWS)
-    shown = stored(shown, "windows")
-    least = shown.groupBy("w", "v").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    single = shown.join(least, ["w", "v"]).filter("least < doc_id")
-    single = single.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("single"))
-    spans = stored(todo.select("doc_id", "th", "whole").join(single, ["doc_id", "th"], "left"), "spans")
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.union(more)
+    spans = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e", "words")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, removed, kept = [], [], []
-            whole, single = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            spans = batch.column(2)
             for i, text in enumerate(byte_rows(batch.column(1))):
                 words = text.split()
-                s, e = starts(whole[i] or [], len(words))
-                at = np.asarray(single[i] or [], dtype=np.int64)
-                s, e = merged(np.concatenate((s, at)), np.concatenate((e + width - 1, at + width)))
+                here = [(x["s"], x["e"]) for x in spans[i].as_py() or [] if b" ".join(words[x["s"] : x["e"]]) == x["words"]]
+                at = np.array(here, dtype=np.int64).reshape(-1, 2)
+                s, e = merged(at[:, 0], at[:, 1])
                 n_words.append(len(words))
                 removed.append(np.stack((s, e), axis=1).reshape(-1))
                 if len(s):
@@ -214,11 +290,10 @@ def remove_repeats(documents: DataFrame, width: int = 50, batches: int = 2) -> D
                     words = [w for a, b in zip(edges[::2], edges[1::2]) for w in words[a:b]]
                 kept.append(b" ".join(words))
             columns = [pa.array(n_words, pa.int64()), pa.array(removed, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
-            names = ["doc_id", "text", "n_words", "removed", "kept_text", *batch.schema.names[4:]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns, *batch.columns[4:]], names=names)
+            names = ["doc_id", "text", "n_words", "removed", "kept_text", *batch.schema.names[3:]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns, *batch.columns[3:]], names=names)
 
     more = carried(documents)
-    docs = texts(documents, *more) if more else docs
-    names = ["doc_id", "text", "whole", "single", "carried"][: 4 + len(more)]
-    all_docs = docs.join(spans, ["doc_id", "th"], "left").select(*names)
+    docs = texts(documents, *more)
+    all_docs = docs.join(spans, ["doc_id", "th"], "left").select(*["doc_id", "text", "spans", "carried"][: 3 + len(more)])
     return all_docs.mapInArrow(cut, with_carried(KEPT, all_docs))
