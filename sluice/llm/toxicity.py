@@ -1,7 +1,7 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-Linear classifiers over hashed words are trained from confirmed toxic texts (P) and texts whose label is not looked at
-(U). With class prior p and logistic loss l, the risk of calling U negative, corrected for the positives in it, is
+Linear classifiers over hashed words are trained from confirmed toxic texts (P) and unlabelled ones (U): a sample of all
+documents, whether or not somebody labelled them, in which labels are not looked at. With class prior p and logistic loss l, the risk of calling U negative, corrected for the positives in it, is
     p * E_P[l(+)] + max(0, E_U[l(-)] - p * E_P[l(-)]);
 where the part in max() falls below zero in a batch, the step ascends it instead, so that it can't be driven there.
 """
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import PLAIN, REMEMBERED, byte_rows
 
-#: Texts that training takes at most: the bound of what reaches the driver. Which ones is decided by a hash of doc_id.
-MOST_POSITIVE, MOST_UNLABELLED = 4_000, 10_000
+#: Texts that training takes at most, confirmed and unlabelled: the bound of the sample, and of what reaches the driver
+#: (the distinct words of each). A hash of doc_id decides which ones.
+MOST_POSITIVE, MOST_UNLABELLED = 4_000, 12_000
 BITS = 18
 CLASSIFIERS = 3
 #: A word is a feature if the evidence (in nats) that P holds it more or less often than U is at least this.
@@ -43,6 +44,20 @@ def features(text: bytes, slots: Slots) -> np.ndarray:
     return np.unique(np.fromiter(map(slots.__getitem__, words), dtype=np.int32, count=len(words)))
 
 
+def slope(z: np.ndarray, n_p: int, prior: float) -> np.ndarray:
+    """What to descend by, for each margin of a batch (P first, then U): the gradient of the risk, or where its part in
+    max() is negative, that of the part's negation."""
+    s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    soft = np.logaddexp(0, z)
+    p, u = slice(0, n_p), slice(n_p, None)
+    g, n_u = np.empty(len(z)), len(z) - n_p
+    if soft[u].mean() >= prior * soft[p].mean():
+        g[p], g[u] = -prior / n_p, s[u] / n_u
+    else:
+        g[p], g[u] = prior * s[p] / n_p, -s[u] / n_u
+    return g
+
+
 def train(rows: list[np.ndarray], confirmed: int, prior: float, seed: int, epochs: int = 30) -> tuple[np.ndarray, float]:
     """Weights and bias of one classifier. rows: each text's slots; the first ones are P, the others U."""
     rng = np.random.default_rng(seed)
@@ -64,17 +79,7 @@ def train(rows: list[np.ndarray], confirmed: int, prior: float, seed: int, epoch
             slots = np.concatenate([rows[i] for i in both])
             row = np.repeat(np.arange(len(both)), [len(rows[i]) for i in both])
             z = bias + np.bincount(row, weights[slots], minlength=len(both))
-            s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            soft = np.logaddexp(0, z)
-            zp, zu = slice(0, len(p)), slice(len(p), None)
-            rest = soft[zu].mean() - prior * soft[zp].mean()
-            g = np.zeros(len(both))
-            if rest >= 0:
-                g[zp] = -prior * (1 - s[zp]) / len(p) - prior * s[zp] / len(p)
-                g[zu] = s[zu] / len(u)
-            else:
-                g[zp] = prior * s[zp] / len(p)
-                g[zu] = -s[zu] / len(u)
+            g = slope(z, len(p), prior)
             touched, at = np.unique(slots, return_inverse=True)
             grad = np.bincount(at, g[row], minlength=len(touched)) + 1e-6 * weights[touched]
             moment[touched] += grad * grad
@@ -89,10 +94,13 @@ def held_out(doc_id) -> F.col:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, float]]:
-    """Classifiers from the labelled rows that are not held out. At most MOST_POSITIVE confirmed and MOST_UNLABELLED
-    other texts are used (which, a hash decides); the prior is the share of confirmed rows in all labelled rows.
-    Without a confirmed row there is none, and every score is 0.
+def fit(documents: DataFrame, labels: DataFrame, prior: float | None = None) -> list[tuple[np.ndarray, float]]:
+    """Classifiers from confirmed toxic documents and a sample of all documents.
+
+    Labels are read of rows that are not held out, and only to confirm. prior is the share of toxic documents in the
+    corpus; by default that of confirmed rows in the rows of labels, which supposes that labels were given to a random
+    sample. Rows that repeat a doc_id are one text. Without a confirmed document there is no classifier, and every score
+    is 0.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).alias("toxic"))
     known = known.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
@@ -100,37 +108,30 @@ def fit(documents: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, float
     n, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0))).first()
     if not n_toxic:
         return []
-    order = F.xxhash64(F.lit(17), "doc_id")
-    chosen = known.filter("toxic").orderBy(order).limit(MOST_POSITIVE)
-    chosen = chosen.union(known.filter("not toxic").orderBy(order).limit(MOST_UNLABELLED))
+    order, no = F.xxhash64(F.lit(17), "doc_id"), F.lit(False)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    p = known.filter("toxic").orderBy(order).limit(MOST_POSITIVE).select("doc_id", F.lit(True).alias("p"), no.alias("u"))
+    u = docs.filter("doc_id is not null").select("doc_id").distinct().orderBy(order).limit(MOST_UNLABELLED)
+    chosen = p.union(u.select("doc_id", no, F.lit(True))).groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = Slots()
         for batch in batches:
-            found = [features(t or b"", slots).tolist() for t in byte_rows(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "slots"])
+            found = [features(t or b"", slots).tolist() for t in byte_rows(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "p", "u", "slots"])
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # chosen has a fixed bound of rows, so it may be broadcast whatever the corpus' size.
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(extract, "toxic boolean, slots array<int>")
-    table = rows.toArrow()
-    if not table.num_rows:
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "p", "u", "text")
+    rows = rows.mapInArrow(extract, "doc_id long, p boolean, u boolean, slots array<int>")
+    table = rows.groupBy("doc_id").agg(F.min(F.struct("p", "u", "slots")).alias("r")).select("doc_id", "r.*").toArrow().sort_by("doc_id")
+    in_p, in_u = (table.column(x).to_numpy(zero_copy_only=False).astype(bool) for x in ("p", "u"))
+    if not in_p.any() or not in_u.any():
         return []
-    positive = table.column("toxic").to_numpy(zero_copy_only=False)
     slots = [np.asarray(x, dtype=np.int32) for chunk in table.column("slots").chunks for x in chunk.to_numpy(zero_copy_only=False)]
-    if not positive.any():
-        return []
-    prior = min(0.9, max(1e-4, n_toxic / n))
-    # The sample holds more positives than the corpus; U is drawn so that it has the prior's share.
-    p, other = np.flatnonzero(positive), np.flatnonzero(~positive)
-    share = int(len(other) * prior / (1 - prior)) + 1
-    models = []
-    for seed in range(CLASSIFIERS):
-        rng = np.random.default_rng(100 + seed)
-        u = np.concatenate((other, rng.choice(p, min(share, len(p)), replace=False)))
-        use = np.concatenate((p, u))
-        models.append(train([slots[i] for i in use], len(p), prior, seed))
-    return models
+    if prior is None:
+        prior = min(0.9, max(1e-4, n_toxic / n))
+    use = [slots[i] for i in (*np.flatnonzero(in_p), *np.flatnonzero(in_u))]
+    return [train(use, int(in_p.sum()), prior, seed) for seed in range(CLASSIFIERS)]
 
 
 def score(documents: DataFrame, models: list[tuple[np.ndarray, float]]) -> DataFrame:
