@@ -309,3 +309,35 @@ def test_html_drops_a_run_on_two_of_many_pages(spark):
     assert len(out) == len(pages) and found == want | {4000: "one two three four five six"}
     again = sorted(r.text for r in out if r.url == "http://h/again")
     assert again == [f"again with other words than before\n{x}" for x in "xy"]
+
+
+def test_html_by_brute_force(spark):
+    """Articles of a host that share a long notice lose it; one that is published on four pages stays; text outside an
+    article is judged, not dropped; names of classes count as a whole."""
+    notice = " ".join(f"n{k}" for k in range(30))
+    own = lambda i, n: " ".join(f"w{i}.{k}" for k in range(n))
+    pages = []
+    for i in range(12):
+        body = f"<article><p>{own(i, 25)}</p><p>{own(i, 3)} {notice} {own(i, 4)}</p><p>Read more</p></article>"
+        pages.append((i, f"http://big/{i}", f"<body><h1>Title {i} of its own</h1>{body}<p>Shared teaser outside of all articles</p>"))
+    pages += [(100 + i, "http://copies/", f"<main>{own('same', 60)}</main><p>{own(i, 12)}</p>") for i in range(4)]
+    pages += [(200, "http://x/", "<article><p class='side-effect'>a</p><p id='social-history'>b</p><div class='nav-bar'>c</div><p>Su<wbr>per</article>")]
+    pages += [(201, "http://x/", "<p>" * 3000 + "tail <b>x"), (202, None, "<article>" + own("z", 3)), (None, "http://x/", "<p>a</p><!-- <p>no</p> -->&#233;")]
+    schema = "page_id long, url string, html string, host string, text string, stream int"
+    out = html_text.extract(spark.createDataFrame([(*p, "x", "y", 1) for p in pages], schema)).collect()
+    found = {r.page_id: r.text for r in out}
+
+    def streams(article):  # the definition: runs of 20 tokens that more than half of at least 8 streams hold
+        return {tuple(article[k : k + html_text.LONG_RUN]) for k in range(len(article) - html_text.LONG_RUN + 1)}
+
+    articles = [f"{own(i, 25)} {own(i, 3)} {notice} {own(i, 4)} Read more".split() for i in range(12)]
+    held = Counter(run for a in articles for run in streams(a))
+    for i, a in enumerate(articles):
+        gone = {q for k in range(len(a) - 19) if held[tuple(a[k : k + 20])] > 6 for q in range(k, k + 20)}
+        rest = [w for q, w in enumerate(a[:-2]) if q not in gone]
+        assert found[i].replace("\n", " ") == f"Title {i} of its own {' '.join(rest)}"
+    assert all(found[100 + i] == f"{own('same', 60)}\n{own(i, 12)}" for i in range(4))
+    assert found[200] == "a\nb\nSuper" and found[201] == "tail x" and found[202] == own("z", 3) and found[None] == "a\né"
+    assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
+    again = html_text.extract(spark.createDataFrame([(*pages[0], "x", "y", 1)] * 20, schema)).collect()
+    assert len(again) == 20 and len({r.text for r in again}) == 1 and "Shared teaser" in again[0].text
