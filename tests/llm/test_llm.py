@@ -156,8 +156,10 @@ def test_near_dedup_joins_large_groups(spark):
     assert sum(r.component_id == find(r.doc_id) for r in out) >= 297
 
 
-def test_decontaminate(spark, rows):
-    items = [(1, " ".join(rows[6][1].split()[20:45])), (2, "Dog, dog"), (3, None), (None, "cat"), (4, "")]
+@pytest.mark.parametrize("at_once", [20_000, 6])
+def test_decontaminate(spark, rows, at_once, monkeypatch):
+    monkeypatch.setattr(decontaminate, "WINDOWS_AT_ONCE", at_once)
+    items = [(1, " ".join(rows[6][1].split()[20:45])), (2, "Dog, dog"), (3, None), (None, "cat"), (4, ""), (5, "dog dog"), (1, "again")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     out = decontaminate.find_windows(make(spark, rows), bench).collect()
     want = Counter()
@@ -173,7 +175,9 @@ def test_decontaminate(spark, rows):
                         of.add(item)
         want[(i, len(w), len(hit), tuple(sorted(of)))] += 1
     assert Counter((r.doc_id, r.n_words, sum(r.ends) - sum(r.starts), tuple(r["items"])) for r in out) == want
+    assert {r.carried.node for r in out} == {1}
     assert decontaminate.find_windows(make(spark, rows), bench.filter("false")).filter("size(items) > 0").count() == 0
+    assert decontaminate.find_windows(make(spark, []), bench).count() == 0
 
 
 def test_quality(spark, rows):
@@ -198,12 +202,28 @@ def test_licenses(spark, rows):
     assert [x[0] for x in scanner.scan(b"a b c d")[2]] == ["long", "side"]
 
 
-def test_url_filter(spark):
-    entries = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "a.com", "/x"), ("allow", "a.com", "/x")]
-    urls = ["http://B.Example.com/en/71?q", "http://c.com/en/", "http://c.com/en", "http://a.com/xy#z", None, "no"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    out = [(r.rule, r.verdict) for r in url_filter.judge_urls(pages, entries).orderBy("page_id").collect()]
-    assert out == [("example.com/en/7", "allow"), ("com/en/", "block"), (None, "allow"), ("a.com/x", "block"), (None, "allow"), (None, "allow")]
+@pytest.mark.parametrize("at_once", [1_000_000, 3])
+def test_url_filter(spark, at_once, monkeypatch):
+    """Against trying every entry, whether one trie holds them or several."""
+    monkeypatch.setattr(url_filter, "MOST_ENTRIES", at_once)
+    rng = random.Random(4)
+    entries = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "a.com", "/x"), ("allow", "a.com", "/x"), ("allow", "com", "/en/very/long"), ("block", "example.com", "/en/"), ("block", "", "/all")]
+    entries += [(rng.choice(["allow", "block"]), rng.choice(["com", "a.com", "b.a.com", "x"]), "/" + "".join(rng.choices("xy/", k=rng.randrange(4)))) for _ in range(30)]
+    urls = ["http://B.Example.com/en/71?q", "http://c.com/en/", "http://c.com/en", "http://a.com/xy#z", None, "no", "http://example.com/en/very/long", "x://", "ftp://x/all" + "l" * 50_000]
+    urls += [f"http://{rng.choice(['com', 'a.com', 'q.b.a.com', 'x', 'ax'])}/" + "".join(rng.choices("xy/", k=rng.randrange(6))) for _ in range(200)]
+    urls += urls[-5:]
+    schema = "page_id long, url string, host string, rank int, verdict string"
+    pages = spark.createDataFrame([(i % 205 or None, u, "h", 1, "v") for i, u in enumerate(urls)], schema)
+    out = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, entries).collect())
+    want = Counter()
+    for i, u in enumerate(urls):
+        host, path = url_filter.split_url(u)
+        fits = [e for e in entries if (host == e[1] or host.endswith("." + e[1]) or not e[1]) and path.startswith(e[2])]
+        best = max(fits, key=lambda e: (len(e[1] + e[2]), len(e[1].split(".")) if e[1] else 0, e[0] == "block"), default=("allow", None, None))
+        want[(i % 205 or None, host, path, best[1] and best[1] + best[2] if best[2] is None or best[1] else best[2], best[0])] += 1
+    assert out == want and len(urls) == sum(out.values())
+    assert url_filter.judge_urls(pages.filter("false"), entries).count() == 0
+    assert {r.verdict for r in url_filter.judge_urls(pages, []).collect()} == {"allow"}
 
 
 def test_html(spark):
