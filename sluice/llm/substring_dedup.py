@@ -67,12 +67,14 @@ class RepeatIndex:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def add(self, batch: DataFrame, copy: bool = True) -> DataFrame:
-        """Add a batch and return its repeats (doc_id, th, s, e, words): spans of words covered by windows that also
-        start in a document with a smaller doc_id, of this batch or an earlier one, and the words found there.
+        """ingest() a batch and return its repeats()."""
+        return self.repeats(self.ingest(batch, copy), len(self.places) - 1)
+
+    def ingest(self, batch: DataFrame, copy: bool = True) -> DataFrame:
+        """Add a batch. Returns (h): its fingerprints that occur twice in it, or in an earlier batch too.
 
         Rows without doc_id are not indexed. copy: keep the batch's texts as a table; without it, the batch must stay
-        readable as long as the index is used. Documents that an earlier batch brought are not looked at again, so bring
-        batches in the order of doc_id.
+        readable as long as the index is used.
         """
         docs = texts(batch).filter("doc_id is not null")
         if not docs.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
@@ -80,15 +82,20 @@ class RepeatIndex:
         elif copy:
             docs = stored(docs, "texts")
         places = stored(fingerprints(docs, self.width), "places")
-        met = self._met(places)
-        seen = places.withColumn("new", F.lit(1))
-        for old in self.places:
-            seen = seen.union(old.withColumn("new", F.lit(0)))
         self.places.append(places)
         self.texts.append(docs)
-        # Places whose fingerprint occurs twice; of earlier batches only for fingerprints of this one.
-        close = stored(seen.join(met, "h", "left_semi"), "met")
-        discard(met)
+        return self._met(places)
+
+    def repeats(self, met: DataFrame, since: int) -> DataFrame:
+        """(doc_id, th, s, e, words) for the batches from number `since` on, given what ingest() returned for them: spans of
+        words covered by windows that also start in a document with a smaller doc_id, of these batches or earlier ones,
+        and the words found there. Documents of earlier batches are not changed any more, so bring batches in the order of
+        doc_id."""
+        seen = self.places[0].withColumn("new", F.lit(int(since <= 0)))
+        for i, old in enumerate(self.places[1:], 1):
+            seen = seen.union(old.withColumn("new", F.lit(int(since <= i))))
+        # Places whose fingerprint occurs twice; of earlier batches only for fingerprints of these.
+        close = stored(seen.join(met.distinct(), "h", "left_semi"), "met")
         found = self._said(self._spans(close))
         discard(close)
         return found
@@ -114,7 +121,7 @@ class RepeatIndex:
         met = self.spark.table(new).filter("n > 1").select("h")
         for run in self.runs:
             met = met.union(self.spark.table(new).select("h").join(self.spark.table(run).select("h"), "h"))
-        met = stored(met.distinct(), "hits")
+        met = stored(met, "hits")
         self.runs.append(new)
         return met
 
@@ -262,16 +269,18 @@ def remove_repeats(documents: DataFrame, width: int = 50, batches: int = 3) -> D
     spark = documents.sparkSession
     low, high = texts(documents).agg(F.min("doc_id"), F.max("doc_id")).first()
     cuts = [] if low is None else [low + (high - low) * i // batches for i in range(1, batches)]
-    index, found = RepeatIndex(spark, width), []
+    index, met = RepeatIndex(spark, width), []
     doc_id = F.col("doc_id").cast("long")
     for i in range(len(cuts) + 1):
         part = documents.filter(doc_id > cuts[i - 1]) if i else documents
         part = part.filter(doc_id <= cuts[i]) if i < len(cuts) else part
-        found.append(index.add(part, copy=False))
+        met.append(index.ingest(part, copy=False))
+    all_met = met[0]
+    for more in met[1:]:
+        all_met = all_met.union(more)
+    spans = index.repeats(all_met, 0)
     index.close()
-    spans = found[0]
-    for more in found[1:]:
-        spans = spans.union(more)
+    discard(*met)
     spans = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e", "words")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

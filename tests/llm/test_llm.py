@@ -361,3 +361,30 @@ def test_html_by_brute_force(spark):
     assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
     again = html_text.extract(spark.createDataFrame([(*pages[0], "x", "y", 1)] * 20, schema)).collect()
     assert len(again) == 20 and len({r.text for r in again}) == 1 and "Shared teaser" in again[0].text
+
+
+def test_substring_index_in_steps_equals_one(spark, rows):
+    """Three batches, with a compaction between them that the third one meets, against all rows at once."""
+    docs = make(spark, [r for r in rows if r[0] is not None] + [(20, rows[10][1][:5000]), (21, rows[6][1]), (22, rows[7][1])])
+    whole = substring_dedup.RepeatIndex(spark)
+    want = {(r.doc_id, w) for r in whole.add(docs).collect() for w in range(r.s, r.e)}
+    steps, got = substring_dedup.RepeatIndex(spark, max_runs=2), set()
+    for part in ("doc_id <= 6", "doc_id between 7 and 13", "doc_id between 14 and 20", "doc_id > 20"):
+        got |= {(r.doc_id, w) for r in steps.add(docs.filter(part)).collect() for w in range(r.s, r.e)}
+    assert got == want and len(want) > 200 and len(steps.runs) == 2
+    whole.close()
+    steps.close()
+
+
+def test_substring_dedup_compares_words(spark, rows, monkeypatch):
+    """Hashes that are equal for different words remove nothing that is not repeated."""
+
+    class Few(substring_dedup.WordHashes):
+        def __missing__(self, word):
+            return len(word) % 2
+
+    monkeypatch.setattr(substring_dedup, "WordHashes", Few)
+    text = " ".join(f"w{i}" for i in range(90))
+    docs = [(1, text), (2, " ".join(f"v{i}" for i in range(90))), (3, text)]
+    out = {r.doc_id: len(r.kept_text.split()) for r in substring_dedup.remove_repeats(make(spark, docs)).collect()}
+    assert out[1] == out[2] == 90
