@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SHINGLE = 5
+from sluice.functions.canonical import folded, shingles, tokens  # noqa: F401
+
 
 
 def normalize_text(x: Column) -> Column:
-    """Lower-case, white space runs to one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(x), r"(?U)\s+", " "))
+    """Case folded, white space runs to one space, trimmed."""
+    return folded(x)
 
 
 def token_count(x: Column) -> Column:
     """White-space separated tokens; 0 for empty text."""
-    n = normalize_text(x)
+    n = F.trim(F.regexp_replace(x, r"(?U)[\s\x1c-\x1f]+", " "))
     return F.when(n == "", 0).otherwise(F.size(F.split(n, " "))).cast("long")
 
 
@@ -23,24 +24,6 @@ def text_hash(x: Column) -> Column:
     return F.sha2(x.cast("binary"), 256)
 
 
-def shingles(x: Column) -> Column:
-    """Distinct 5-grams of code points; a shorter text is its own, an empty one has none."""
-    n = F.length(x)
-    grams = F.transform(F.sequence(F.lit(1), n - (SHINGLE - 1)), lambda i: F.substring(x, i, F.lit(SHINGLE)))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n <= SHINGLE, F.array(x)).otherwise(F.array_distinct(grams))
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    """Overlap over union of two sets; 0 where both are empty."""
-    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.when(either == 0, 0.0).otherwise(both / either)
-
-
-def tokens(x: Column) -> Column:
-    """Maximal runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(x), F.lit(r"([\p{L}\p{N}]+)"), 1)
-
-
 def preview(x: Column, width: int) -> Column:
     """White space collapsed, cut to width with dots."""
     flat = F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
@@ -55,26 +38,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def byte_bucket(n: Column) -> Column:
-    """Size classes by powers of the bound 1024."""
-    out = F.when(n <= 0, "0")
-    for low, high in ((1, 1024), (1025, 4096), (4097, 16384), (16385, 32768)):
-        out = out.when(n <= high, f"{low}-{high}")
-    return out.otherwise("32769+")
-
-
-#: Provider credential formats.
-CREDENTIALS = {
-    "aws_key": r"\bAKIA[0-9A-Z]{16}\b",
-    "github_token": r"\bgh[pousr]_[A-Za-z0-9]{36,}\b",
-    "private_key": r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----",
-    "slack_token": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
-    "bearer_key": r"\bsk-[A-Za-z0-9_-]{20,}",
-    "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-}
-
-
-def credential_count(x: Column) -> Column:
-    total = F.lit(0)
-    for pattern in CREDENTIALS.values():
-        total = total + F.regexp_count(x, F.lit(pattern))
-    return total.cast("long")
+    """Size classes of byte counts."""
+    return F.when(n <= 0, "0").when(n <= 1024, "1-1024").when(n <= 4096, "1025-4096").when(n <= 32768, "4097-32768").otherwise("32769+")
+
+
+def count_bucket(n: Column) -> Column:
+    return F.when(n <= 0, "0").when(n == 1, "1").when(n <= 4, "2-4").when(n <= 16, "5-16").otherwise("17+")

@@ -12,27 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.functions import text as T
-from sluice.operators import fragments, lineage, metrics, retrieval, tables
+from sluice.functions.documents import paragraphs
+from sluice.operators import fragments, lineage, metrics, retrieval, secrets, tables
+from sluice.plans.registry import QUERIES, SQL, query, read
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-NORMAL = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
+NORMAL = r"trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'))"
 
 
 @query(f"""SELECT conv_id, turn, role, {NORMAL} AS normalized, sha256({NORMAL}) AS text_hash,
@@ -46,9 +30,10 @@ def normalize_turns(spark, sf_dir):
 @query("""SELECT event_id, '/' || key AS pointer, key, value, 'tool_input' AS role
   FROM (SELECT event_id, unnest(json_keys(props)) AS key, unnest(map_values(CAST(CAST(props AS JSON) AS MAP(VARCHAR, VARCHAR)))) AS value FROM events)""")
 def fragment_leaves(spark, sf_dir):
-    payloads = read(spark, sf_dir, "events").select("event_id", F.col("props").alias("payload"))
-    leaves = fragments.flatten(payloads).filter("kind <> 'invalid'")
-    return leaves.select("event_id", "pointer", "key", "value", fragments.semantic_role(F.col("key"), F.lit("tool_input")).alias("role"))
+    payloads = read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("artifact_id"), F.lit("tool_input").alias("artifact_role"), F.col("props").alias("text"))
+    leaves = fragments.leaves(payloads).filter("fragment_kind = 'payload'")
+    role = fragments.semantic_role(F.col("key"), F.lit("tool_input")).alias("role")
+    return leaves.select(F.col("artifact_id").cast("long").alias("event_id"), F.col("json_pointer").alias("pointer"), "key", F.col("text").alias("value"), role)
 
 
 @query("""SELECT role, count(*) AS n, min(length(text)) AS shortest, max(length(text)) AS longest,
@@ -98,8 +83,7 @@ def confusion_matrix(spark, sf_dir):
     return t.agg(*metrics.confusion(F.col("quality") == 0, symbols > 0.03 * F.length("text")))
 
 
-@query("""SELECT CASE WHEN n <= 0 THEN '0' WHEN n <= 1024 THEN '1-1024' WHEN n <= 4096 THEN '1025-4096' WHEN n <= 16384 THEN '4097-16384'
-  WHEN n <= 32768 THEN '16385-32768' ELSE '32769+' END AS bucket, count(*) AS documents
+@query("""SELECT CASE WHEN n <= 0 THEN '0' WHEN n <= 1024 THEN '1-1024' WHEN n <= 4096 THEN '1025-4096' WHEN n <= 32768 THEN '4097-32768' ELSE '32769+' END AS bucket, count(*) AS documents
   FROM (SELECT strlen(text) AS n FROM documents) GROUP BY 1""")
 def byte_buckets(spark, sf_dir):
     t = read(spark, sf_dir, "documents").select(T.byte_bucket(F.octet_length("text")).alias("bucket"))
@@ -140,53 +124,60 @@ def dual_top_k(spark, sf_dir):
     return retrieval.top_candidates(met_turns(spark, sf_dir), 3).select("query_id", "candidate_id", "overlap", "coverage", "rank")
 
 
-@query(INDEX_SQL + """SELECT query_id, candidate_id, overlap / (q_features + c_features - overlap) AS score FROM m
-  WHERE overlap / (q_features + c_features - overlap) >= 0.3""")
+@query("""WITH n AS (SELECT DISTINCT p_type, p_name FROM part),
+s AS (SELECT *, list_distinct(list_transform(range(1, length(p_name) - 3), lambda i: substring(p_name, CAST(i AS BIGINT), 5))) AS g FROM n WHERE length(p_name) > 5)
+SELECT a.p_type, a.p_name AS query_id, b.p_name AS candidate_id, len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS score
+FROM s a JOIN s b ON a.p_type = b.p_type AND a.p_name <> b.p_name WHERE len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) >= 0.3""")
 def jaccard_edges(spark, sf_dir):
+    names = read(spark, sf_dir, "part").select("p_type", "p_name").distinct().filter(F.length("p_name") > 5)
+    x = retrieval.index(names.select(F.struct("p_type", "p_name").alias("id"), F.col("p_type").alias("scope"), F.lit(0).alias("sequence_no"), F.col("p_name").alias("text")))
+    met = retrieval.overlaps(x, x, forward=False)
     score = F.col("overlap") / (F.col("q_features") + F.col("c_features") - F.col("overlap"))
-    return met_turns(spark, sf_dir).select("query_id", "candidate_id", score.alias("score")).filter("score >= 0.3")
+    return met.select("query_id.p_type", F.col("query_id.p_name").alias("query_id"), F.col("candidate_id.p_name").alias("candidate_id"), score.alias("score")).filter("score >= 0.3")
 
 
 GRAPH_SQL = """
-WITH RECURSIVE e AS (SELECT o_orderkey AS id, o_custkey AS src, CAST(1500 + o_orderkey % 700 AS BIGINT) AS dst, 0.5 + (o_orderkey % 50) / 100.0 AS score FROM orders),
-p AS (SELECT src AS source, dst AS node, CAST(score AS DOUBLE) AS score, 1 AS hops FROM e WHERE src % 5 = 0
-  UNION SELECT p.source, f.dst, p.score * f.score, p.hops + 1 FROM p JOIN (
-    SELECT l_orderkey % 700 + 1500 AS src, 3000 + l_suppkey AS dst, max(0.4 + l_linenumber / 20.0) AS score FROM lineitem GROUP BY ALL) f ON f.src = p.node
-  WHERE p.score * f.score >= 0.15),
-b AS (SELECT source, node, max(score) AS score FROM p GROUP BY ALL)
+WITH RECURSIVE f AS MATERIALIZED (SELECT 'o' || l_orderkey AS src, 's' || l_suppkey AS dst, max(0.4 + l_linenumber / 20.0) AS score FROM lineitem GROUP BY ALL),
+p AS (SELECT 'c' || o_custkey AS source, 'o' || o_orderkey AS node, CAST(0.5 + (o_orderkey % 50) / 100.0 AS DOUBLE) AS score, 1 AS hops, 'o' || o_orderkey AS edge_id FROM orders
+  UNION SELECT p.source, f.dst, p.score * f.score, p.hops + 1, f.src || '-' || f.dst FROM p JOIN f ON f.src = p.node WHERE p.score * f.score >= 0.15),
+b AS (SELECT source, node, score, hops, edge_id FROM (SELECT *, row_number() OVER (PARTITION BY source, node ORDER BY score DESC, hops, edge_id) AS k FROM p) WHERE k = 1)
 """
 
 
-def order_lineage(spark, sf_dir) -> DataFrame:
+def order_edges(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Customers stand for sources, orders for their bindings, line items for edges to sinks (suppliers)."""
-    o = read(spark, sf_dir, "orders")
-    seeds = o.filter("o_custkey % 5 = 0").select(
-        F.col("o_custkey").alias("source"), (1500 + F.col("o_orderkey") % 700).alias("node"), (0.5 + (F.col("o_orderkey") % 50) / 100).alias("score"), F.col("o_orderkey").alias("edge_id")
-    )
-    edges = read(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 700 + 1500).alias("src"), (3000 + F.col("l_suppkey")).alias("dst"))
-    edges = edges.agg(F.max(0.4 + F.col("l_linenumber") / 20).alias("score")).withColumn("edge_id", F.col("src") * 1_000_000 + F.col("dst"))
-    return lineage.propagate(seeds, edges)
+    seeds = read(spark, sf_dir, "orders").select(
+        F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("o"), "o_orderkey").alias("node"),
+        (0.5 + (F.col("o_orderkey") % 50) / 100).alias("score"), F.concat(F.lit("o"), "o_orderkey").alias("edge_id"),
+    )
+    edges = read(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
+    edges = edges.agg(F.max(0.4 + F.col("l_linenumber") / 20).alias("score")).withColumn("edge_id", F.concat("src", F.lit("-"), "dst"))
+    return seeds, edges
+
+
+def order_lineage(spark, sf_dir) -> DataFrame:
+    return lineage.propagate(*order_edges(spark, sf_dir))
 
 
-@query(GRAPH_SQL + "SELECT source, node, round(score, 9) AS score FROM b")
+@query(GRAPH_SQL + "SELECT source, node, round(score, 9) AS score, hops, edge_id FROM b")
 def best_path_lineage(spark, sf_dir):
-    return order_lineage(spark, sf_dir).select("source", "node", F.round("score", 9).alias("score"))
+    return order_lineage(spark, sf_dir).select("source", "node", F.round("score", 9).alias("score"), "hops", "edge_id")
 
 
-FINDINGS_SQL = GRAPH_SQL + """, s AS (SELECT 3000 + s_suppkey AS node, CASE s_suppkey % 4 WHEN 0 THEN 'final_answer' WHEN 1 THEN 'external_message'
+FINDINGS_SQL = GRAPH_SQL + """, s AS (SELECT 's' || s_suppkey AS node, CASE s_suppkey % 4 WHEN 0 THEN 'final_answer' WHEN 1 THEN 'external_message'
     WHEN 2 THEN 'external_http_request' ELSE 'external_deploy' END AS sink_type FROM supplier),
-f AS (SELECT b.source, b.node, sink_type, b.score, CASE WHEN b.score >= 0.9 THEN 'critical' WHEN b.score >= 0.6 THEN 'high' ELSE 'medium' END AS severity
+z AS (SELECT b.source, b.node, sink_type, b.score, CASE WHEN b.score >= 0.9 THEN 'critical' WHEN b.score >= 0.6 THEN 'high' ELSE 'medium' END AS severity
   FROM b JOIN s USING (node) WHERE b.score >= 0.3),
 d AS (SELECT *, CASE WHEN severity NOT IN ('critical', 'high') THEN 'allow' WHEN severity = 'critical' AND sink_type = 'final_answer' THEN 'continue_review'
-    WHEN severity = 'critical' AND sink_type IN ('external_message', 'external_http_request') THEN 'block' ELSE 'warn' END AS action,
-  CASE WHEN sink_type = 'final_answer' THEN 'Stop' ELSE 'PreToolUse' END AS hook FROM f)
+    WHEN severity = 'critical' AND sink_type LIKE 'external_%' THEN 'block' ELSE 'warn' END AS action,
+  CASE WHEN sink_type = 'final_answer' THEN 'Stop' ELSE 'PreToolUse' END AS hook FROM z)
 """
 
 
 def decided(spark, sf_dir) -> DataFrame:
     kinds = F.element_at(F.array(*map(F.lit, ("final_answer", "external_message", "external_http_request", "external_deploy"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
-    sinks = read(spark, sf_dir, "supplier").select((3000 + F.col("s_suppkey")).alias("node"), kinds.alias("sink_type"))
-    return lineage.decide(lineage.findings(order_lineage(spark, sf_dir), sinks))
+    sinks = read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), kinds.alias("sink_type"))
+    return lineage.decide(lineage.findings(order_lineage(spark, sf_dir), sinks, included=("final_answer",)))
 
 
 @query(FINDINGS_SQL + "SELECT source, node, sink_type, severity, action, hook, round(score, 9) AS score FROM d")
@@ -197,10 +188,7 @@ def policy_decisions(spark, sf_dir):
 @query(FINDINGS_SQL + """SELECT source, sink_type, severity, action FROM (SELECT *, row_number() OVER (PARTITION BY source
   ORDER BY CASE action WHEN 'block' THEN 0 WHEN 'continue_review' THEN 1 WHEN 'warn' THEN 2 ELSE 3 END, round(score, 9) DESC, node) AS k FROM d) WHERE k = 1""")
 def strongest_decision(spark, sf_dir):
-    rank = F.when(F.col("action") == "block", 0).when(F.col("action") == "continue_review", 1).when(F.col("action") == "warn", 2).otherwise(3)
-    order = F.struct(rank.alias("r"), (-F.round("score", 9)).alias("s"), "node")
-    best = decided(spark, sf_dir).groupBy("source").agg(F.min_by(F.struct("sink_type", "severity", "action"), order).alias("d"))
-    return best.select("source", "d.*")
+    return lineage.strongest(decided(spark, sf_dir).withColumn("score", F.round("score", 9)), ["source"]).select("source", "sink_type", "severity", "action")
 
 
 @query("""SELECT event_id, recorded_at, CASE WHEN n IS NULL THEN 'orphan' WHEN recorded_at < TIMESTAMP '1996-01-01' THEN 'expired' END AS reason
@@ -210,19 +198,16 @@ def retention_plan(spark, sf_dir):
     return tables.retained(plans, read(spark, sf_dir, "events"), F.expr("timestamp_ntz'1996-01-01'"))
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(text, '\bAKIA[0-9A-Z]{16}\b')) + len(regexp_extract_all(text, '\bgh[pousr]_[A-Za-z0-9]{36,}\b'))
-  + len(regexp_extract_all(text, '-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----')) + len(regexp_extract_all(text, '\bxox[abprs]-[A-Za-z0-9-]{10,}'))
-  + len(regexp_extract_all(text, '\bsk-[A-Za-z0-9_-]{20,}')) + len(regexp_extract_all(text, '\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}')) AS credentials
-  FROM documents""")
+@query("SELECT doc_id, " + " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in secrets.CREDENTIALS.values()) + " AS credentials FROM documents")
 def credential_scan(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.credential_count(F.col("text")).alias("credentials"))
+    return read(spark, sf_dir, "documents").select("doc_id", secrets.credential_count(F.col("text")).alias("credentials"))
 
 
-@query("""SELECT doc_id, CAST(ordinal - 1 AS INTEGER) AS ordinal, sha256(trim(chunk, chr(10) || ' ')) AS chunk_hash
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS chunk, generate_subscripts(string_split(text, chr(10)), 1) AS ordinal FROM documents) WHERE trim(chunk, chr(10) || ' ') <> ''""")
+@query(r"""SELECT doc_id, CAST(ordinal - 1 AS INTEGER) AS ordinal, sha256(chunk) AS chunk_hash FROM (
+  SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda c: regexp_replace(c, '^\s+|\s+$', '', 'g')), lambda c: c <> '')) AS chunk,
+    generate_subscripts(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda c: regexp_replace(c, '^\s+|\s+$', '', 'g')), lambda c: c <> ''), 1) AS ordinal FROM documents)""")
 def paragraph_chunks(spark, sf_dir):
-    t = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "chunk"))
-    t = t.withColumn("chunk", F.trim("chunk")).filter("chunk <> ''")
+    t = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("ordinal", "chunk"))
     return t.select("doc_id", "ordinal", T.text_hash(F.col("chunk")).alias("chunk_hash"))
 
 
@@ -235,21 +220,16 @@ def neighbour_cosine(spark, sf_dir):
     return a.join(b, "vec_id").select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("other")), 6).alias("score"))
 
 
-@query("SELECT 0 AS n WHERE false")
-def full_incremental_parity(spark, sf_dir):
-    """Overlaps of all turns at once against those of the last turns probed into the index of earlier ones."""
-    x = retrieval.index(turns(spark, sf_dir))
-    delta = retrieval.overlaps(x.filter("sequence_no >= 2"), x).unionByName(retrieval.overlaps(x.filter("sequence_no < 2"), x))
-    return metrics.parity(met_turns(spark, sf_dir), delta).select(F.lit(0).alias("n"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy_decisions(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from sluice.plans import flows, reports  # noqa: F401  they register themselves
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -1,5 +1,4 @@
-from unittest.mock import MagicMock
-
+import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import text as T
@@ -8,14 +7,13 @@ from sluice.sources import events
 from sluice.streaming import ingest
 
 
-def test_flatten_walks_escapes_and_rejects(spark):
-    rows = [(1, '{"a/b": {"c~": [1, null, "x"]}, "t": true}'), (2, "nope"), (3, None), (4, "[[[1]]]")]
-    out = fragments.flatten(spark.createDataFrame(rows, "event_id long, payload string"), max_depth=2).collect()
-    found = [(r.event_id, r.pointer, r.value, r.kind) for r in out]
-    assert found[0] == (1, "", '{"a/b": {"c~": [1, null, "x"]}, "t": true}', "invalid")
-    deep = fragments.flatten(spark.createDataFrame(rows, "event_id long, payload string")).collect()
-    assert [(r.pointer, r.value) for r in deep if r.event_id == 1] == [("/a~1b/c~0/0", "1"), ("/a~1b/c~0/2", "x"), ("/t", "true")]
-    assert {r.event_id for r in deep if r.kind == "invalid"} == {2, 3}
+def test_leaves_walk_and_escape(spark):
+    rows = [("1", "tool_input", '{"a/b": {"c~": [1, null, "x"]}, "t": true}'), ("2", "tool_input", "nope"), ("3", "x", "[[[1.5]]]"), ("4", "x", '"s"')]
+    out = fragments.leaves(spark.createDataFrame(rows, "artifact_id string, artifact_role string, text string")).collect()
+    found = [(r.artifact_id, r.json_pointer, r.text) for r in out if r.fragment_kind == "payload"]
+    assert found == [("1", "/a~1b/c~0/0", "1"), ("1", "/a~1b/c~0/2", "x"), ("1", "/t", "True"), ("3", "/0/0/0", "1.5")]
+    assert sorted(r.artifact_id for r in out if r.fragment_kind == "artifact_root") == ["1", "2", "3", "4"]
+    assert {(r.json_pointer, r.text) for r in out if r.fragment_kind == "json_key"} == {("/a~1b", "a/b"), ("/a~1b/c~0", "c~"), ("/t", "t")}
 
 
 def test_lineage_takes_the_best_product_and_ends_on_cycles(spark):
@@ -26,13 +24,19 @@ def test_lineage_takes_the_best_product_and_ends_on_cycles(spark):
     assert found == {"a": (0.9, 1, "e0"), "c": (0.81, 2, "e2"), "b": (0.729, 3, "e3")}
 
 
-def test_lineage_goes_on_until_nothing_improves(spark, monkeypatch):
-    """Stand-ins for tables, as 70 hops of Spark jobs take minutes."""
-    table = MagicMock()
-    table.isEmpty.side_effect = [False] * 70 + [True]
-    monkeypatch.setattr(lineage, "_stored", lambda df: table)
-    lineage.propagate(MagicMock(), MagicMock())
-    assert table.isEmpty.call_count == 71
+def test_lineage_goes_on_until_nothing_improves(spark):
+    """A chain of more hops than frontiers are kept apart, and what new edges change in it."""
+    n = lineage.MERGE_EVERY + 4
+    seeds = spark.createDataFrame([("s", "n0", 1.0, "e")], "source string, node string, score double, edge_id string")
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1.0, f"e{i}") for i in range(n)], "src string, dst string, score double, edge_id string")
+    whole = lineage.propagate(seeds, edges)
+    assert {(r.node, r.hops) for r in whole.collect()} == {(f"n{i}", i + 1) for i in range(n + 1)}
+    late = edges.filter("edge_id = 'e2'")
+    before = lineage.propagate(seeds, edges.filter("edge_id < 'e2' or edge_id > 'e2'"))
+    changed = lineage.propagate_new(before, seeds, edges.filter("edge_id >= 'e2' or edge_id = 'e10'"))
+    assert late.count() == 1 and {r.node for r in changed.collect()} == {f"n{i}" for i in range(3, n + 1)}
+    walked = lineage.paths(whole, edges, whole.filter("node = 'n5'")).orderBy("step").collect()
+    assert [r.node for r in walked] == ["s", *(f"n{i}" for i in range(6))]
 
 
 def test_text_scalars(spark):
@@ -53,10 +57,44 @@ def test_json_reader_and_streaming_ingest(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "x.json").write_text('{"a": 1}\nnope\n[1]\n')
     good, bad = events.read_json_events(spark, str(tmp_path / "in"))
-    assert good.count() == 1 and bad.count() == 2
+    assert good.count() == 1 and {r.reason for r in bad.collect()} == {"no_object"}
     rows = spark.sql("select timestamp'2024-01-01' + make_interval(0,0,0,0,0,0,id % 3) as ts, id % 3 as event_id from range(9)")
     rows.write.parquet(str(tmp_path / "log"))
     stream = ingest.first_deliveries(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "log")))
     query = ingest.write_idempotent(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_manifest(spark, tmp_path):
+    good = '{"schema_version": 2, "sources": [{"id": "a", "path": "x/.env", "type": "secretfile", "sensitivity": "high", "policy_tags": ["t"], "selector": {"dotenv_keys": ["K"]}}, {"id": "b", "path": "y.md", "type": "doc"}]}'
+    (tmp_path / "m.json").write_text(good)
+    out = {r.source_id: (r.path, r.selector_kind, r.selector_values) for r in events.read_manifest(spark, str(tmp_path / "m.json"), "w").collect()}
+    assert out == {"a": ("x/.env", "dotenv_keys", ["K"]), "b": ("y.md", None, None)}
+    for old, new, why in (('"b"', '"a"', "two sources"), ("y.md", "../y", "leaves"), ('"schema_version": 2', '"schema_version": 3', "not supported")):
+        (tmp_path / "bad.json").write_text(good.replace(old, new))
+        with pytest.raises(Exception, match=why):
+            events.read_manifest(spark, str(tmp_path / "bad.json"), "w").collect()
+
+
+def test_record_writes_whole_batches(spark, tmp_path):
+    rows = [("stop", '{"session_id": "s", "message": "hello there"}', 1, "w"), ("stop", "no", 2, "w"), ("post_tool_use", '{"session_id": "s", "tool_response": {"ok": true}}', 3, "w")]
+    log = spark.createDataFrame(rows, "phase string, payload string, sequence_no long, workspace_id string")
+    log.write.parquet(str(tmp_path / "in"))
+    for checkpoint in ("one", "two"):  # without its checkpoint, the batch comes again
+        stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
+        ingest.record(stream, str(tmp_path / "out"), str(tmp_path / checkpoint)).awaitTermination(180)
+    count = lambda name: spark.read.parquet(str(tmp_path / "out" / name)).count()
+    assert [count(n) for n in ("events", "artifacts", "fragments", "outcomes")] == [2, 2, 3, 2]
+    known = events.of_scope(spark.read.parquet(str(tmp_path / "out" / "events")), "w", "s", after=1, through=3)
+    assert [r.sequence_no for r in known.collect()] == [3]
+    new = spark.createDataFrame([("w", 1, "b"), ("w", 1, "a"), ("v", 5, "c")], "workspace_id string, arrived int, event_id string")
+    out = {r.event_id: r.sequence_no for r in ingest.with_sequence(new, spark.createDataFrame([("w", 7)], "workspace_id string, last long")).collect()}
+    assert out == {"a": 8, "b": 9, "c": 1}
+
+
+def test_report_is_replaced(spark, tmp_path):
+    for n in (1, 2):
+        events.write_report(spark.createDataFrame([(n,)], "n int"), f"file://{tmp_path}/report.json")
+    assert (tmp_path / "report.json").read_text() == '{"n":2}\n'
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["report.json"]
