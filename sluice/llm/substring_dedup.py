@@ -95,9 +95,10 @@ class RepeatIndex:
         for i, old in enumerate(self.places[1:], 1):
             seen = seen.union(old.withColumn("new", F.lit(int(since <= i))))
         # Places whose fingerprint occurs twice; of earlier batches only for fingerprints of these.
-        close = stored(seen.join(met.distinct(), "h", "left_semi"), "met")
+        once = stored(met.distinct(), "hits")  # a table, so that Spark can split the join where many places share an h
+        close = stored(seen.join(once, "h", "left_semi"), "met")
         found = self._said(self._spans(close))
-        discard(close)
+        discard(once, close)
         return found
 
     def close(self) -> None:
