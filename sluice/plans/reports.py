@@ -53,10 +53,10 @@ def graph_chart(spark, sf_dir):
     return lineage.mermaid(lineage.subgraph(known, edges)).select("line")
 
 
-@query(FINDINGS_SQL + """SELECT source, node, 'source=customer:' || source || ' sink=' || sink_type || ' score=' || printf('%.2f', score) || ' severity=' || severity AS technical_summary,
+@query(FINDINGS_SQL + """SELECT source, node, 'source=customer:' || source || ' sink=' || sink_type || ' score=' || round(CAST(score AS DECIMAL(18, 9)), 2) || ' severity=' || severity AS technical_summary,
   CASE WHEN action = 'block' AND hook = 'PreToolUse' THEN 'deny' WHEN action = 'continue_review' THEN 'block' WHEN action = 'warn' AND hook = 'PreToolUse' THEN 'context' WHEN action = 'warn' THEN 'system' ELSE '{}' END AS answer FROM d""")
 def decision_reports(spark, sf_dir):
-    told = lineage.explained(decided(spark, sf_dir).withColumn("source_kind", F.lit("customer")))
+    told = lineage.explained(decided(spark, sf_dir).withColumn("source_kind", F.lit("customer")).withColumn("score", F.round("score", 9)))
     out = told.withColumn("json", lineage.hook_output(F.col("hook"), F.col("action"), F.col("message")))
     answer = F.coalesce(
         F.get_json_object("json", "$.hookSpecificOutput.permissionDecision"), F.get_json_object("json", "$.decision"),
