@@ -108,6 +108,102 @@ sleepycat | sleepycat | sleepycat license
 vim | vim license | vim license
 beerware | beer ware | beer ware license
 json | not evil | shall be used for good not evil
+aal | attribution assurance | attribution assurance license
+apsl-2.0 | apple public source | apple public source license{v} 2(?: 0)?{later}
+apsl-1.2 | apple public source | apple public source license{v} 1 2
+apsl | apple public source | apple public source license
+bittorrent-1.1 | bittorrent | bittorrent open source license(?:{v} 1 1)?
+blueoak-1.0.0 | blue oak | blue oak model license(?:{v} 1(?: 0)*)?
+bsd-1-clause | bsd | (?:bsd 1 clause|1 clause bsd)(?: license)?
+bsd-3-clause | neither the name | neither the name of(?: the)?(?: \\w+){1,8} nor the names of its contributors may be used to endorse or promote products
+bsd-4-clause | advertising materials | all advertising materials mentioning features or use of this software must display the following acknowledg
+bsd-3-clause-clear | clear bsd | (?:bsd 3 clause clear|clear bsd) license
+cpal-1.0 | common public attribution | common public attribution license(?:{v} 1(?: 0)?)?
+curl | curl license | (?:the )?curl license
+catosl-1.1 | computer associates | computer associates trusted open source license(?:{v} 1 1)?
+cecill-b | cecill b | cecill b(?: free software)? license
+cecill-c | cecill c | cecill c(?: free software)? license
+commons-clause | commons clause | commons clause(?: license)?(?: condition)?{v}?(?: 1(?: 0)?)? || subject to the commons clause
+confluent | confluent community | confluent community license(?: agreement)?(?:{v} 1(?: 0)?)?
+cua-opl-1.0 | cua office | cua office public license(?:{v} 1(?: 0)?)?
+dsl | design science | design science license
+ecl-2.0 | educational community | educational community license(?:{v} 2(?: 0)?)?
+ecl-1.0 | educational community | educational community license{v} 1(?: 0)?
+efl-2.0 | eiffel forum | eiffel forum license(?:{v} 2)?
+entessa | entessa public | entessa public license
+erlpl-1.1 | erlang public | erlang public license(?:{v} 1 1)?
+eudatagrid | eu datagrid | eu datagrid software license
+fair | fair license | (?:the )?fair license
+fal-1.3 | free art | free art license(?:{v} 1 3)? || licence art libre
+frameworx-1.0 | frameworx | frameworx open license(?:{v} 1(?: 0)?)?
+fsl | functional source | functional source license(?:{v} 1 1)?
+ftl | freetype | freetype(?: project)? license
+gnu-all-permissive | without royalty | copying and distribution of this file with or without modification are permitted in any medium without royalty
+hpnd | historical permission | historical permission notice and disclaimer
+ijg | independent jpeg | independent jpeg group(?: s)?(?: software)? license
+imagemagick | imagemagick | imagemagick license
+imlib2 | imlib2 | imlib2 license
+info-zip | info zip | info zip license
+intel | intel open source | intel open source license
+ipa | ipa font | ipa font license
+jython | jython | jython license
+liliq-p-1.1 | liliq | licence libre du quebec permissive || liliq p(?: 1 1)?
+lpl-1.02 | lucent public | lucent public license(?:{v} 1 0?2)?
+lsof | lsof license | lsof license
+miros | miros | (?:the )?miros licen[cs]e
+motosoto | motosoto | motosoto open source license
+mulanpsl-2.0 | mulan | mulan p(?:ermissive s(?:oftware l(?:icense)?)?|sl)(?:{v} 2(?: 0)?)?
+multics | multics | multics license
+nasa-1.3 | nasa open source | nasa open source agreement(?:{v} 1 3)?
+naumen | naumen public | naumen public license
+net-snmp | net snmp | net snmp license
+netcdf | netcdf | netcdf license
+nokia | nokia open source | nokia open source license
+nosl | netizen | netizen open source license
+nposl-3.0 | non profit open software | non profit open software license(?:{v} 3(?: 0)?)?
+ntp | ntp license | (?:the )?ntp license
+oclc-2.0 | oclc research | oclc research public license(?:{v} 2(?: 0)?)?
+oldap-2.8 | openldap | openldap public license{v} 2 8
+oldap | openldap | openldap public license
+opl-1.0 | open publication | open publication license(?:{v} 1(?: 0)?)?
+oset-pl-2.1 | oset public | oset public license(?:{v} 2 1)?
+parity | parity public | parity public license(?:{v} [67](?: 0)*)?
+polyform-noncommercial | polyform noncommercial | polyform noncommercial license(?: 1(?: 0)*)?
+polyform-small-business | polyform small | polyform small business license(?: 1(?: 0)*)?
+polyform | polyform | polyform (?:shield|perimeter|strict|internal use|free trial) license(?: 1(?: 0)*)?
+prosperity | prosperity public | prosperity public license(?:{v} [23](?: 0)*)?
+rpl-1.5 | reciprocal public | reciprocal public license(?:{v} 1 5)?
+rpsl-1.0 | realnetworks | realnetworks public source license(?:{v} 1(?: 0)?)?
+rscpl | ricoh source | ricoh source code public license
+rsal | redis source available | redis source available license(?:{v} 2)?
+simpl-2.0 | simple public | simple public license(?:{v} 2(?: 0)?)?
+sissl | sun industry | sun industry standards source license
+spl-1.0 | sun public | sun public license(?:{v} 1(?: 0)?)?
+ssleay | ssleay | (?:original )?ssleay license
+sugarcrm-1.1.3 | sugarcrm | sugarcrm public license(?:{v} 1 1 3)?
+sustainable-use | sustainable use | sustainable use license(?:{v} 1(?: 0)?)?
+tcl | tcl tk | tcl tk license
+tosl | trusster | trusster open source license
+uoi-ncsa | university of illinois | university of illinois ncsa license
+vsl-1.0 | vovida | vovida software license(?:{v} 1(?: 0)?)?
+watcom-1.0 | watcom | sybase open watcom public license(?:{v} 1(?: 0)?)?
+wxwindows | wxwindows | wxwindows library licen[cs]e(?:{v} 3 1)?
+xnet | x net license | x net license
+zpl-2.1 | zope | zope public license{v} 2 1
+zpl | zope | zope public license
+ogl-uk-2.0 | open government | uk open government licen[cs]e{v} 2(?: 0)?
+etalab-2.0 | licence ouverte | licence ouverte(?: open licence)?(?:{v} 2(?: 0)?)?
+dl-de-by-2.0 | datenlizenz deutschland | datenlizenz deutschland namensnennung(?:{v} 2(?: 0)?)?
+dl-de-zero-2.0 | datenlizenz deutschland | datenlizenz deutschland zero(?:{v} 2(?: 0)?)?
+cdla-permissive-2.0 | community data license | community data license agreement permissive(?:{v} [12](?: 0)?)?
+cdla-sharing-1.0 | community data license | community data license agreement sharing(?:{v} 1(?: 0)?)?
+gemma | gemma terms | gemma terms of use
+no-warranty | without warranty | without warranty of any kind(?: express or implied)?
+non-commercial | commercial | for non ?commercial (?:use|purposes) only || not for commercial use
+no-redistribution | redistribut | (?:may|must) not be redistributed
+permission | permission | (?:used|reprinted|reproduced) with(?: the)?(?: kind)? permission(?: of)?
+patent | patent | (?:u s )?patents? pending
+trademark | trademark | (?:is|are)(?: a)?(?: registered)? trademarks?(?: of(?: \\w+){1,3})?
 llama | llama | llama [23](?: [0-9])? community license
 openrail | rail | (?:creative ml |bigscience |big code )?open ?rail(?: ?\\+\\+)?(?: m)?(?: license)?
 rail | responsible ai | responsible ai licen[cs]e
@@ -145,6 +241,10 @@ postgresql psf-2.0 python-2.0 qpl-1.0 ruby sleepycat sspl-1.0 unlicense upl-1.0
 """
 
 
+#: Labels of notices that name no licence: their rules score less.
+WEAK = {"copyright", "terms", "no-warranty", "no-redistribution", "permission", "patent", "trademark"}
+
+
 def rules() -> list[tuple[str, float, str, str]]:
     """All rules in order of priority."""
     out = [
@@ -155,7 +255,7 @@ def rules() -> list[tuple[str, float, str, str]]:
         label, keyword, patterns = (part.strip() for part in line.split(" | "))
         for k, pattern in enumerate(patterns.split(" || ")):
             filled = pattern.replace("{v}", V).replace("{later}", LATER).replace("\\\\", "\\")
-            out.append((label, 0.6 if label in ("copyright", "terms") else 0.9 - 0.05 * k, keyword, filled))
+            out.append((label, 0.6 if label in WEAK else 0.9 - 0.05 * k, keyword, filled))
     for line in CREATIVE_COMMONS.strip().splitlines():
         label, letters, words = (part.strip() for part in line.split(" | "))
         out.append((label, 0.95, "creative commons", rf"creative commons {words}(?: [1-4] [05])?(?: international| unported| generic)?(?: license)?"))
