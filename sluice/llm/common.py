@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
     one of our own; on a cluster no local folder would do, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="sluice-")
         spark.conf.set("spark.checkpoint.dir", folder)
