@@ -327,10 +327,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def links(reps: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
     """Confirmed links whose components are those of all links. reps: rep, th, sketch, prints; docs: doc_id, th, text."""
     least = threshold / 100 - SLACK
-    cells = meetings(reps.select("rep", "sketch"))
-    nodes = stored(cells.join(reps, "rep").select("node", "side", "rep", "prints"), "meetings")
-    discard(cells)
-    first = stored(compare(nodes, least), "pairs")
+    met_in = meetings(reps.select("rep", "sketch"))
+    first = stored(compare(met_in.join(reps, "rep").select("node", "side", "rep", "prints"), least), "pairs")
     # Who meets nobody so similar in the first pass does not in the second.
     named = reps.join(first.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep").select("rep", "th")
     named = stored(named, "named")
@@ -340,9 +338,13 @@ def links(reps: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFr
     closed = components(met)
     label = named.select("rep").distinct().join(closed.withColumnRenamed("node", "rep"), "rep", "left")
     label = stored(label.select("rep", F.coalesce("label", "rep").alias("label")), "label")
-    again = nodes.join(label, "rep").select("node", "side", "rep", "label", "prints")
-    open_rows = stored(undecided(again, least), "undecided")
-    discard(nodes, first, named, closed, label)
+    # Cells of one label are decided; the others get their sketches again, once their rows are known.
+    again = stored(met_in.join(label, "rep").select("node", "side", "rep", "label"), "labelled")
+    several = again.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("node")
+    several = stored(several, "several")
+    again_open = stored(again.join(several, "node", "left_semi"), "again")
+    open_rows = stored(undecided(again_open.join(reps.select("rep", "prints"), "rep").select("node", "side", "rep", "label", "prints"), least), "undecided")
+    discard(met_in, first, named, closed, label, again, several, again_open)
     found = stored(met.union(united(open_rows.join(sets, "rep").select("node", "side", "rep", "label", "s"), threshold)), "found")
     discard(met, sets, open_rows)
     return found
