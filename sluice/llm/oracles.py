@@ -77,6 +77,45 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_removed,
 FROM d LEFT JOIN k USING (r) LEFT JOIN c USING (r)
 """
 
+#: Sources sorted by how soon they are at three times their words; classes by the bits of the size, longest first.
+OP13 = f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, source, len({_words("text", SPACED, lower=False)}) AS size,
+    (CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || coalesce(text, '')), 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source),
+f AS (
+  SELECT *, coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS capped,
+    sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, (sum(source_size) OVER ())::BIGINT AS total
+  FROM s WINDOW o AS (ORDER BY source_size / w, source NULLS LAST)),
+l AS (SELECT min_by((total - 3 * capped) / rest, capped) FILTER (WHERE (total - 3 * capped) / rest * w <= 3 * source_size) AS share FROM f),
+t AS MATERIALIZED (SELECT source, source_size, least(share * w, (3 * source_size)::DOUBLE) AS target FROM s, l),
+c AS (SELECT source, length(bin(size)) AS bits, sum(size)::BIGINT AS words FROM d WHERE size > 0 GROUP BY ALL),
+g AS (
+  SELECT c.*, target, coalesce(sum(words) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS above,
+    (sum(words * bits) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS below
+  FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WINDOW o AS (PARTITION BY c.source ORDER BY bits DESC)),
+rate AS (SELECT source, coalesce(max_by((target - 3 * above) / below, bits) FILTER (WHERE (target - 3 * above) / below * bits <= 3), 3.0) AS rate FROM g GROUP BY source),
+e AS MATERIALIZED (
+  SELECT d.*, source_size, target, CASE WHEN size = 0 THEN 0.0::DOUBLE ELSE least(3.0::DOUBLE, rate * length(bin(size))) END AS e
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN rate ON d.source IS NOT DISTINCT FROM rate.source),
+x AS MATERIALIZED (
+  SELECT *, floor(e)::BIGINT AS whole, e - floor(e) AS p,
+    greatest(target - (sum(floor(e)::BIGINT * size) OVER (PARTITION BY source))::BIGINT, 0.0::DOUBLE) AS room FROM e),
+q AS (SELECT *, u * (1 - p) / (u * (1 - p) + (1 - u) * p) AS x FROM x WHERE p > 0),
+k AS MATERIALIZED (
+  SELECT *, CASE WHEN (sum(size) OVER (PARTITION BY source ORDER BY x, u, doc_id NULLS FIRST, size, r))::BIGINT <= room THEN 1 ELSE 0 END AS extra FROM q),
+gap AS (SELECT source, any_value(room) - sum(extra * size)::BIGINT AS gap FROM k GROUP BY source),
+one AS (
+  SELECT r FROM (
+    SELECT r, gap, abs(gap - size) AS miss, row_number() OVER (PARTITION BY k.source ORDER BY abs(gap - size), x, u, doc_id NULLS FIRST, size, r) AS j
+    FROM k JOIN gap ON k.source IS NOT DISTINCT FROM gap.source WHERE extra = 0) WHERE j = 1 AND miss < gap)
+SELECT x.doc_id, x.size, x.source_size, x.target, (x.size * (x.whole + coalesce(k.extra, 0) + CASE WHEN one.r IS NULL THEN 0 ELSE 1 END))::BIGINT AS taken
+FROM x LEFT JOIN k USING (r) LEFT JOIN one ON one.r = x.r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -84,4 +123,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontaminate_wu_manber": OP6,
         "op7_url_filter_trie": OP7,
         "op8_substring_dedup_lsm": OP8,
+        "op13_mix_pareto": OP13,
     }

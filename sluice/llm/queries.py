@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,10 @@ from sluice.llm import (
     decontaminate,
     html_text,
     licenses,
+    mixing,
     near_dedup,
     packing,
+    periodic,
     quality,
     substring_dedup,
     suffix_dedup,
@@ -117,9 +120,39 @@ def op10_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def repeating_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words that the contract of op11 looks at: in some documents all words from one on repeat with a period."""
+    n, h = len(words), 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op11_periodic_runs_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), repeating_tail)
+    # Lengths over periods are compared as doubles: below 2 ** 26 words two different ones are told apart.
+    ranked = F.transform("runs", lambda r: F.struct((r["length"] / r["period"]).alias("x"), (-r["start"]).alias("s"), (-r["period"]).alias("p"), r["length"].alias("length")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period")))), "\n")
+    digest = F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit("")), 256)
+    best = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.array_max(ranked).alias("b"), digest.alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"))
+    return best.select(
+        "doc_id", "n_runs", (-F.col("b.s")).alias("start"), F.col("b.length").alias("length"), (-F.col("b.p")).alias("period"),
+        F.expr("1000 * b.length div -b.p").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+def op13_mix_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_toxicity_nnpu, op2_license_scan, op3_quality_weak_supervision, op4_pack_best_fit, op5_near_dedup_chosen_path,
         op6_decontaminate_wu_manber, op7_url_filter_trie, op8_substring_dedup_lsm, op9_suffix_array_dedup, op10_extract_html,
+        op11_periodic_runs_grammar, op13_mix_pareto,
     ]
     return {f.__name__: f for f in found}
