@@ -77,6 +77,51 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_removed,
 FROM d LEFT JOIN k USING (r) LEFT JOIN c USING (r)
 """
 
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda x, c: list_reduce(list_prepend(xor(x, c), range(8)), lambda y, k: xor(y >> 1, 3988292384 * (y & 1)))))"
+_FIELD = "coalesce(CAST(strlen({0}) AS VARCHAR) || ':' || {0}, '-')"
+
+
+def _leaf(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return f"sha256({' || '.join(_FIELD.format(x) for x in fields)})"
+
+
+#: levels and tops: all nodes, n of them on the level; sides and over: what stands around a leaf's way up.
+OP12 = f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, coalesce('+' || lang, '') AS tree, {_leaf("text")} AS leaf,
+    CASE WHEN {_CRC} % 3 = 0 THEN {_leaf(f"translate(text, '{UPPER}', '{LOWER}')")} ELSE {_leaf("text")} END AS candidate FROM documents),
+l AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d),
+levels AS (
+  SELECT tree, 0 AS level, i, leaf AS h, n FROM l
+  UNION ALL SELECT tree, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM levels WHERE n > 1 GROUP BY tree, level, i // 8, n),
+t AS MATERIALIZED (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM levels WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, i, h, n FROM t
+  UNION ALL SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM tops WHERE n > 1 GROUP BY level, i // 8, n),
+sides AS (
+  SELECT l.tree, l.i, level, coalesce(string_agg(h, '' ORDER BY s.i) FILTER (s.i < l.i >> (3 * level)), '') AS b,
+    coalesce(string_agg(h, '' ORDER BY s.i) FILTER (s.i > l.i >> (3 * level)), '') AS a
+  FROM l JOIN levels s ON s.tree = l.tree AND s.i // 8 = l.i >> (3 * level + 3) AND s.n > 1 GROUP BY l.tree, l.i, level),
+over AS (
+  SELECT t.tree, level, coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i < t.i >> (3 * level)), '') AS b,
+    coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i > t.i >> (3 * level)), '') AS a
+  FROM t JOIN tops s ON s.i // 8 = t.i >> (3 * level + 3) AND s.n > 1 GROUP BY t.tree, level),
+paths AS MATERIALIZED (
+  SELECT tree, i, level, b, a FROM sides
+  UNION ALL SELECT l.tree, l.i, 1000 + level, b, a FROM l JOIN over ON over.tree = l.tree),
+steps AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree, i ORDER BY level) AS k FROM paths),
+fold AS (
+  SELECT tree, i, 0 AS k, candidate AS h FROM l
+  UNION ALL SELECT f.tree, f.i, s.k, sha256(b || h || a) FROM fold f JOIN steps s ON s.tree = f.tree AND s.i = f.i AND s.k = f.k + 1),
+proofs AS (SELECT tree, i, sha256(string_agg(b || a, '' ORDER BY k)) AS proof_sha256 FROM steps GROUP BY tree, i),
+folded AS (SELECT tree, i, max_by(h, k) AS folded_root FROM fold GROUP BY tree, i),
+root AS (SELECT h AS root FROM tops WHERE n = 1)
+SELECT doc_id, leaf, t.h AS subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN t USING (tree) JOIN root ON true LEFT JOIN proofs ON proofs.tree = l.tree AND proofs.i = l.i JOIN folded ON folded.tree = l.tree AND folded.i = l.i
+"""
+
 #: Sources sorted by how soon they are at three times their words; classes by the bits of the size, longest first.
 OP13 = f"""
 WITH d AS MATERIALIZED (
@@ -123,5 +168,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontaminate_wu_manber": OP6,
         "op7_url_filter_trie": OP7,
         "op8_substring_dedup_lsm": OP8,
+        "op12_merkle_multiproof": OP12,
         "op13_mix_pareto": OP13,
     }

@@ -60,15 +60,16 @@ def repair(ids: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
     rules: list[tuple[int, int]] = []
     while queue:
         claimed, pair = heappop(queue)
+        there = [i for i in places.pop(pair, ()) if sym[i] == pair[0] and right[i] < n and sym[right[i]] == pair[1]]
         live, used = [], -1
-        for i in places.pop(pair, ()):
-            if i != used and sym[i] == pair[0] and (j := right[i]) < n and sym[j] == pair[1]:
+        for i in there:
+            if i != used:
                 live.append(i)
-                used = j
+                used = right[i]
         if len(live) < 2:
             continue
         if len(live) < -claimed:
-            places[pair] = live
+            places[pair] = there
             heappush(queue, (-len(live), pair))
             continue
         x = base + len(rules)

@@ -12,6 +12,7 @@ from sluice.llm import (
     decontaminate,
     html_text,
     licenses,
+    merkle,
     mixing,
     near_dedup,
     packing,
@@ -144,6 +145,13 @@ def op11_periodic_runs_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle_multiproof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle.verified(docs, F.when(chosen, lowered)).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def op13_mix_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -153,6 +161,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_toxicity_nnpu, op2_license_scan, op3_quality_weak_supervision, op4_pack_best_fit, op5_near_dedup_chosen_path,
         op6_decontaminate_wu_manber, op7_url_filter_trie, op8_substring_dedup_lsm, op9_suffix_array_dedup, op10_extract_html,
-        op11_periodic_runs_grammar, op13_mix_pareto,
+        op11_periodic_runs_grammar, op12_merkle_multiproof, op13_mix_pareto,
     ]
     return {f.__name__: f for f in found}
