@@ -61,7 +61,7 @@ def _measured(text: Column) -> Column:
     """A struct of what the rules look at, with words and lines split once."""
     bare = F.translate(text, SPACE, "")
     words = F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike("^[ \\t-\\r]*$"))
+    lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike("\\A[ \\t-\\r]*\\z"))
     lines = F.when(F.length(bare) > 0, lines).otherwise(F.array().cast("array<string>"))
 
     def all_of(w: Column, x: Column) -> Column:

@@ -181,6 +181,8 @@ def test_decontaminate(spark, rows, at_once, monkeypatch):
 
 
 def test_quality(spark, rows):
+    # Line separators that are no white space of ASCII are words, and lines of them count.
+    rows = [*rows, (20, "a\n\u0085\n\u0085"), (21, "\u2028\n\u2028\n\u2029 \n \t\n\u2029 "), (22, "b\r\nb\r\n\r\n")]
     out = quality.judge(make(spark, rows)).collect()
     want = Counter()
     for i, t in rows:
