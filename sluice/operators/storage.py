@@ -4,21 +4,49 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Folder below the shared one that stored() writes to just now.
+_WITHIN: ContextVar[str] = ContextVar("within", default="")
 
-def stored(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write df as a table in spark.checkpoint.dir and read it back: cuts lineage, survives lost executors. Where that is
-    unset in a local session (tests), a folder of our own; on a cluster no local folder would do."""
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset in a local session (tests), a folder of our own; on a cluster no local folder
+    would do."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="sluice-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """All tables that are stored within go at the end."""
+    name = f"/scratch-{uuid.uuid4().hex}"
+    before = _WITHIN.set(_WITHIN.get() + name)
+    try:
+        yield
+    finally:
+        delete(spark, shared_folder(spark) + _WITHIN.get())
+        _WITHIN.reset(before)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stored(df: DataFrame, name: str = "part") -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}{_WITHIN.get()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
@@ -28,5 +56,4 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables that stored() wrote, once all that reads them has been written."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df.stored_at)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import canonical, documents, shell
 from sluice.functions.compare import compare
-from sluice.operators import filesystem, flow, fragments, secrets
+from sluice.operators import files, filesystem, flow, fragments, lineage, operations, secrets
 from sluice.operators.metrics import parity
 from sluice.operators.storage import stored
 from sluice.plans.registry import query, read
@@ -233,7 +233,7 @@ def compared_turns(spark, sf_dir):
     return x.join(after, ["conv_id", "turn"]).select("conv_id", "turn", compare(F.col("prepared"), F.col("next")).alias("d")).select("conv_id", "turn", "d.*")
 
 
-@query("SELECT 'edges' AS part, true AS found, 0 AS differing UNION ALL SELECT 'lineage', true, 0")
+@query("SELECT unnest(['edges', 'lineage', 'findings', 'decisions']) AS part, true AS found, 0 AS differing")
 def full_incremental_parity(spark, sf_dir):
     """Whether a run over all events finds anything, and how many rows it has that a run in two steps, the second of which
     brings late turns, does not have, or the other way round."""
@@ -241,12 +241,20 @@ def full_incremental_parity(spark, sf_dir):
     start, late = incremental.empty_state(spark, log), F.col("sequence_no") % 3 == 2
     whole = incremental.advance(start, log, protected, "d")
     steps = incremental.advance(incremental.advance(start, log.filter(~late), protected, "d"), log.filter(late), protected, "d")
+    layers = [x | told(x) for x in (whole, steps)]
+    keys = {"edges": ["edge_id", "score"], "lineage": ["source", "node", "score"], "findings": ["source", "node", "severity"], "decisions": ["source", "node", "action"]}
     out = []
-    for part, columns in (("edges", ["edge_id"]), ("lineage", ["source", "node"])):
-        rows = [x[part].select(*columns, F.round("score", 9).alias("score")) for x in (whole, steps)]
+    for part, columns in keys.items():
+        rows = [x[part].select(*(F.round(c, 9).alias(c) if c == "score" else c for c in columns)) for x in layers]
         found = rows[0].agg((F.count("*") > 0).alias("found"))
         out.append(parity(*rows).agg(F.count("*").alias("differing")).join(found).select(F.lit(part).alias("part"), "found", "differing"))
-    return out[0].union(out[1])
+    return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
+def told(state: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Findings and decisions of a state."""
+    found = lineage.findings(state["lineage"], state["sinks"].select(F.col("node_id").alias("node"), "sink_type"), included=("final_answer",))
+    return {"findings": found, "decisions": lineage.decide(found)}
 
 
 @query("""SELECT user_id, event_id, max(CASE WHEN event_type IN ('error', 'purchase') THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS outcome_id FROM events""")
