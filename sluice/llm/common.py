@@ -35,13 +35,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors. What df alone was
+    made of is let go first, so that Spark deletes its shuffle files before the next step writes its own."""
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    del df
     gc.collect()
-    spark._jvm.System.gc()  # lets Spark delete shuffle files that nothing needs any more
-    out = spark.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()
+    out = spark.read.schema(schema).parquet(path)
     out.stored_at = path
     return out
 
