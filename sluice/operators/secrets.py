@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
@@ -138,6 +139,27 @@ def secret_value(key: Column, x: Column, path: Column) -> Column:
     return (x != "") & ~managed(x) & ~told
 
 
+def json_problem(x: Column) -> Column:
+    """Why a text is refused as JSON: an object has a key twice, or it can't be read."""
+
+    def unique(pairs: list[tuple]) -> dict:
+        found = dict(pairs)
+        if len(found) < len(pairs):
+            raise KeyError
+        return found
+
+    def one(text: str) -> str:
+        try:
+            json.loads(text, object_pairs_hook=unique)
+        except KeyError:
+            return "json_duplicate_key"
+        except (ValueError, RecursionError):
+            pass
+        return "source_not_parseable"
+
+    return F.pandas_udf(lambda x: x.map(one, na_action="ignore"), "string")(x)
+
+
 def _fields(files: DataFrame) -> DataFrame:
     """(path, kind, selector, key, value, problem) of files (path, text): assignments of .env files, string members of
     .json files."""
@@ -151,8 +173,8 @@ def _fields(files: DataFrame) -> DataFrame:
     assigned = assigned.select("path", "kind", F.col("p.key").alias("selector"), "p.key", "p.value", "problem")
     docs = files.filter(F.lower("path").endswith(".json"))
     variant = F.try_parse_json("text")
-    # Spark's parser refuses an object that has a key twice.
-    bad = F.when(variant.isNull(), "source_not_parseable").when(nesting(F.col("text")) > MOST_DEPTH, "json_too_deep")
+    # Spark's parser refuses an object that has a key twice, too.
+    bad = F.when(variant.isNull(), json_problem(F.col("text"))).when(nesting(F.col("text")) > MOST_DEPTH, "json_too_deep")
     roots = docs.select("path", "text", bad.alias("problem"))
     found = leaves(roots.filter("problem is null").select(F.col("path").alias("artifact_id"), F.lit("tool_input").alias("artifact_role"), "text"))
     items = found.filter("fragment_kind = 'json_key' or json_pointer rlike '/[0-9]+$'").groupBy("artifact_id").agg(F.count_distinct("json_pointer").alias("items"))

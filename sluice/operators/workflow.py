@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.canonical import with_prepared
 from sluice.functions.compare import compare_binding
-from sluice.operators.fragments import leaves, nesting
+from sluice.operators.fragments import nesting
 from sluice.operators.lineage import identity
 from sluice.operators.metrics import shadow_action
 
@@ -140,11 +141,24 @@ def appended(log: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return log.unionByName(checked.join(log, keys, "left_anti"))
 
 
-def structure_hash(rows: DataFrame) -> DataFrame:
-    """(id, structure): hash of the sorted pointers and types of JSON texts (id, text), whatever the values."""
-    v = leaves(rows.select(F.col("id").alias("artifact_id"), F.lit("tool_input").alias("artifact_role"), "text")).filter("fragment_kind <> 'artifact_root'")
-    parts = F.array_join(F.sort_array(F.collect_set(F.concat_ws("\t", "json_pointer", "fragment_kind"))), "\n")
-    return v.groupBy(F.col("artifact_id").alias("id")).agg(F.sha2(parts.cast("binary"), 256).alias("structure"))
+def structure_hash(text: Column) -> Column:
+    """Hash of the pointers and types of all values of a JSON text, containers and nulls among them, by sorted key; null for
+    what is no JSON."""
+    kinds = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
+
+    def one(x: str) -> str | None:
+        try:
+            todo, entries = [("", json.loads(x))], []
+        except (ValueError, RecursionError):
+            return None
+        while todo:
+            pointer, value = todo.pop()
+            entries.append((pointer, kinds[type(value)]))
+            children = [(k.replace("~", "~0").replace("/", "~1"), value[k]) for k in sorted(value)] if isinstance(value, dict) else list(enumerate(value)) if isinstance(value, list) else []
+            todo.extend((f"{pointer}/{k}", child) for k, child in reversed(children))
+        return hashlib.sha256(json.dumps(entries, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+
+    return F.pandas_udf(lambda x: x.map(one, na_action="ignore"), "string")(text)
 
 
 def with_replaced(arguments: Column, pointers: Column, replacement: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import canonical, documents, shell
 from sluice.functions.compare import compare
-from sluice.operators import files, filesystem, flow, fragments, lineage, operations, secrets
+from sluice.operators import files, filesystem, flow, fragments, lineage, operations, secrets, sources
 from sluice.operators.metrics import parity
 from sluice.operators.storage import stored
 from sluice.plans.registry import query, read
@@ -205,6 +205,71 @@ def file_flow(spark, sf_dir):
     return filesystem.file_edges(rows).groupBy("relation").agg(F.count("*").alias("n"))
 
 
+FLOW_SQL = """WITH RECURSIVE o AS (SELECT user_id, event_id AS seq, event_type, '/f/' || CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS path, 'v' || json_extract_string(props, '$.k') AS h,
+  CASE WHEN event_type IN ('click', 'signup') THEN 'W' WHEN event_type = 'purchase' THEN 'B' ELSE 'R' END AS op FROM events),
+s AS (SELECT *, count(*) FILTER (op = 'W') OVER (PARTITION BY user_id, path ORDER BY seq) AS seg FROM o),
+p AS (SELECT *, first_value(op) OVER w AS first, row_number() OVER w AS k,
+  last_value(CASE WHEN op <> 'B' THEN h END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM s WINDOW w AS (PARTITION BY user_id, path, seg ORDER BY seq)),
+m AS (SELECT *, op = 'W' OR (op = 'R' AND NOT (seg = 0 AND first = 'B') AND held IS DISTINCT FROM h) OR (op = 'B' AND seg = 0 AND k = 1) AS makes FROM p),
+v AS MATERIALIZED (SELECT *, max(CASE WHEN makes THEN seq END) OVER (PARTITION BY user_id, path ORDER BY seq) AS version FROM m),
+e AS MATERIALIZED (SELECT 'content' AS src_kind, seq AS src, 'version' AS dst_kind, version AS dst FROM v WHERE op = 'W' UNION ALL SELECT 'version', version, CASE op WHEN 'R' THEN 'content' ELSE 'command' END, seq FROM v WHERE op <> 'W'),
+"""
+
+
+def file_log(spark, sf_dir) -> DataFrame:
+    """Events as tool calls on five files: some write, some read with a tool, some by a shell command."""
+    k = F.get_json_object("props", "$.k")
+    path, content = F.concat(F.lit("/f/"), (k.cast("long") % 5).cast("string")), F.concat(F.lit("v"), k)
+    own = [F.col("user_id").cast("string").alias("session_id"), F.col("event_id").cast("string").alias("tool_use_id")]
+    wrote = F.to_json(F.struct(*own, F.lit("Write").alias("tool_name"), F.struct(path.alias("path"), content.alias("content")).alias("tool_input")))
+    shown = F.to_json(F.struct(*own, F.lit("Read").alias("tool_name"), F.struct(path.alias("path")).alias("tool_input"), F.struct(content.alias("content")).alias("tool_response")))
+    ran = F.to_json(F.struct(*own, F.lit("Bash").alias("tool_name"), F.struct(F.concat(F.lit("cat "), path).alias("command")).alias("tool_input")))
+    kind = F.col("event_type")
+    phase = F.when(kind.isin("click", "signup", "purchase"), "pre_tool_use").otherwise("post_tool_use")
+    payload = F.when(kind.isin("click", "signup"), wrote).when(kind == "purchase", ran).otherwise(shown)
+    return read(spark, sf_dir, "events").select(phase.alias("phase"), payload.alias("payload"), F.col("event_id").alias("sequence_no"), F.lit("w").alias("workspace_id"))
+
+
+@query(FLOW_SQL + """r AS (SELECT 'signup' AS source, 'content' AS kind, seq, 1 AS hops FROM v WHERE event_type = 'signup'
+  UNION ALL SELECT 'path ' || path, 'version', seq, 1 FROM v WHERE makes AND path IN ('/f/0', '/f/3')
+  UNION ALL SELECT r.source, e.dst_kind, e.dst, r.hops + 1 FROM r JOIN e ON e.src_kind = r.kind AND e.src = r.seq)
+SELECT source, kind, seq AS sequence_no, min(hops) AS hops FROM r GROUP BY ALL""")
+def file_lineage(spark, sf_dir):
+    """Where what signups write, and what two protected paths hold, goes through files: nodes by the event that made them."""
+    known = stored(operations.with_operations(fragments.contexts(fragments.normalized_events(file_log(spark, sf_dir)))), "contexts")
+    made, edges = files.file_flow(known)
+    made, edges = stored(made, "resources"), stored(edges, "file_edges")
+    protected = spark.createDataFrame([(f"path {p}", "w", p) for p in ("/f/0", "/f/3")], "source_id string, workspace_id string, path string")
+    bound = flow.path_bindings(protected, made)
+    written = read(spark, sf_dir, "events").filter("event_type = 'signup'").select(F.col("event_id").alias("sequence_no"))
+    starts = known.filter("phase = 'pre_tool_use' and semantic_role = 'content' and json_pointer <> '/'").join(written, "sequence_no").select(F.lit("signup").alias("source"), F.col("fragment_id").alias("node"))
+    seeds = starts.select("source", "node", F.lit(1.0).alias("score"), F.lit("").alias("edge_id")).union(bound.select("src_id", "dst_id", "score", "edge_id"))
+    reached = lineage.propagate(seeds, edges.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "score", "edge_id"))
+    kind = F.when(F.col("fragment_kind") == "bash_segment", "command").otherwise("content")
+    nodes = known.select(F.col("fragment_id").alias("node"), kind.alias("kind"), "sequence_no").union(made.select("node_id", F.lit("version"), "sequence_no"))
+    return reached.join(nodes, "node").select("source", "kind", "sequence_no", "hops")
+
+
+@query("""WITH f AS (SELECT event_id, event_type, CASE event_type WHEN 'click' THEN 'a.json' WHEN 'signup' THEN 'b.json' WHEN 'view' THEN '.env' WHEN 'purchase' THEN 'n.md' ELSE 'c.py' END AS name,
+  CASE event_type WHEN 'click' THEN ['x' || event_id, 't ' || props, 'last'] WHEN 'signup' THEN ['t ' || props] WHEN 'view' THEN ['key' || event_id] WHEN 'purchase' THEN ['first ' || event_id, 'second' || chr(10) || 'line']
+    ELSE ['import x', 'def f():' || chr(10) || '    return ' || event_id, 'class A:' || chr(10) || '    pass'] END AS parts FROM events),
+c AS (SELECT 's' || event_id AS source_id, event_type, unnest(parts) AS text, unnest(range(len(parts))) AS ordinal FROM f)
+SELECT source_id || ':' || ordinal || ':' || left(sha256(text), 16) AS chunk_id, CAST(ordinal AS INTEGER) AS ordinal, text,
+  CASE WHEN event_type IN ('signup', 'view') THEN 'selected_security_field' ELSE 'registered_source' END AS signal FROM c""")
+def source_chunks(spark, sf_dir):
+    """Chunks of files that events make: JSON with and without selected pointers, dotenv, paragraphs and definitions."""
+    t, n, kind = read(spark, sf_dir, "events"), F.col("event_id").cast("string"), F.col("event_type")
+    secret = F.concat(F.lit("t "), "props")
+    doc = F.to_json(F.struct(F.concat(F.lit("x"), n).alias("first"), F.lit(1).alias("n"), F.struct(secret.alias("api~key/token")).alias("deep"), F.array(F.lit(" "), F.lit("last")).alias("list")))
+    env = F.concat(F.lit("# settings\nNAME=x\nexport API_KEY='key"), n, F.lit("' # mine\nEMPTY=\n"))
+    note, code = F.concat(F.lit("first "), n, F.lit("\n\n \n\nsecond\nline\n")), F.concat(F.lit("import x\n\ndef f():\n    return "), n, F.lit("\n\nclass A:\n    pass\n"))
+    name = F.when(kind == "click", "a.json").when(kind == "signup", "b.json").when(kind == "view", ".env").when(kind == "purchase", "n.md").otherwise("c.py")
+    text = F.when(kind.isin("click", "signup"), doc).when(kind == "view", env).when(kind == "purchase", note).otherwise(code)
+    rows = t.select(F.concat(F.lit("s"), n).alias("source_id"), F.lit("w").alias("workspace_id"), F.concat(n, F.lit("/"), name).alias("path"), F.when(kind.isin("click", "signup", "view"), "secretfile").otherwise("doc").alias("type"), text.alias("text"),
+                    F.when(kind == "signup", "json_pointers").when(kind == "view", "dotenv_keys").alias("selector_kind"), F.when(kind == "signup", F.array(F.lit("/deep/api~0key~1token"))).when(kind == "view", F.array(F.lit("API_KEY"))).alias("selector_values"))
+    return sources.chunks_of(rows.drop("text"), rows.select("workspace_id", "path", "text")).select("chunk_id", "ordinal", "text", "signal")
+
+
 @query(r"""SELECT p_partkey, CASE WHEN regexp_matches(x, '^[a-z0-9._/ -]+$') THEN array_to_string(regexp_extract_all(x, '[a-z0-9]+'), '/') ELSE x END AS identifier
   FROM (SELECT p_partkey, lower(p_brand || '-' || p_partkey || '.' || (10000 + p_partkey)) AS x FROM part WHERE NOT contains(p_brand, '#')
   UNION ALL SELECT p_partkey, lower(replace(p_brand, '#', '_') || '-' || p_partkey || '.' || (10000 + p_partkey)) FROM part)""")

@@ -60,16 +60,32 @@ def write_partitions(rows: DataFrame, path: str, *keys: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """A report (few rows) as one JSON file: written beside its place, then renamed to it, so that readers see the old one
-    or the new one."""
+def write_report(report: DataFrame, folder: str) -> int:
+    """A report (few rows) as one JSON file, the next number in folder: written beside its place, then renamed to a name
+    that nobody has, so that readers see the old one or the new one whenever it breaks off. The one before it stays."""
     spark = report.sparkSession
-    beside = f"{path}.{uuid.uuid4().hex}"
+    beside = f"{folder}/_{uuid.uuid4().hex}"
     report.coalesce(1).write.json(beside)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    place, folder = jvm.Path(path), jvm.Path(beside)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    part = next(f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
-    fs.delete(place, False)
-    fs.rename(part, place)
-    fs.delete(folder, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(path(beside)) if f.getPath().getName().startswith("part-"))
+    number = max(_reports(spark, folder), default=0) + 1
+    if not fs.rename(part, path(f"{folder}/report-{number}.json")):
+        raise ValueError("another report was faster")
+    fs.delete(path(beside), True)
+    for old in _reports(spark, folder):
+        if old < number - 1:
+            fs.delete(path(f"{folder}/report-{old}.json"), False)
+    return number
+
+
+def _reports(spark: SparkSession, folder: str) -> list[int]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    return [int(n[7:-5]) for n in names if n.startswith("report-") and n.endswith(".json")]
+
+
+def read_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The last report of a folder."""
+    return spark.read.json(f"{folder}/report-{max(_reports(spark, folder))}.json")

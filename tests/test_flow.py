@@ -238,12 +238,12 @@ def test_paths_and_normal_paths(spark):
 def test_secret_discovery(spark):
     files = [
         ("a/.env", "API_KEY=real99value\nTOKEN=${X}\nAUTH=Bearer\nAWS_ACCESS_KEY_ID=abc\nNAME=x\nDB_PASSWORD=changeme"), ("b/.env.local", "A=1\nA=2"), ("c/.env", "not an assignment"),
-        ("d.json", '{"dbPassword": "p4ss", "nested": [{"clientSecret": "vault://x"}, {"APIKey": "k99"}], "token_path": "/etc/t"}'), ("e.json", "{"), ("example/.env.example", "SECRET=example-value"), ("f.txt", "PASSWORD=x"),
+        ("d.json", '{"dbPassword": "p4ss", "nested": [{"clientSecret": "vault://x"}, {"APIKey": "k99"}], "token_path": "/etc/t"}'), ("e.json", "{"), ("g.json", '{"a": 1, "b": {"token": "x", "token": "y"}}'), ("example/.env.example", "SECRET=example-value"), ("f.txt", "PASSWORD=x"),
     ]
     out = {r.path: (r.selectors, r.problem) for r in secrets.discover(spark.createDataFrame(files, "path string, text string")).collect()}
     assert out == {
         "a/.env": (["API_KEY", "AWS_ACCESS_KEY_ID"], None), "b/.env.local": ([], "dotenv_duplicate_key"), "c/.env": ([], "source_not_parseable"),
-        "d.json": (["/dbPassword", "/nested/1/APIKey"], None), "e.json": ([], "source_not_parseable"), "example/.env.example": ([], "no_secret_selector"),
+        "d.json": (["/dbPassword", "/nested/1/APIKey"], None), "e.json": ([], "source_not_parseable"), "g.json": ([], "json_duplicate_key"), "example/.env.example": ([], "no_secret_selector"),
     }
 
 

@@ -94,7 +94,9 @@ def test_record_writes_whole_batches(spark, tmp_path):
 
 
 def test_report_is_replaced(spark, tmp_path):
-    for n in (1, 2):
-        events.write_report(spark.createDataFrame([(n,)], "n int"), f"file://{tmp_path}/report.json")
-    assert (tmp_path / "report.json").read_text() == '{"n":2}\n'
-    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["report.json"]
+    folder = f"file://{tmp_path}/reports"
+    for n in (1, 2, 3):
+        assert events.write_report(spark.createDataFrame([(n,)], "n int"), folder) == n
+        assert events.read_report(spark, folder).first().n == n
+    names = sorted(p.name for p in (tmp_path / "reports").iterdir() if not p.name.startswith("."))
+    assert names == ["report-2.json", "report-3.json"]  # the one before stays, for who is reading it
