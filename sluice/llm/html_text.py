@@ -49,7 +49,7 @@ VOID = set("area base br col embed hr img input link meta source track wbr".spli
 NAMES = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent notice"
     " notices alert popup modal newsletter subscribe sidebar nav navbar navigation menu breadcrumb breadcrumbs header"
-    " footer comment comments disqus replies share sharing social related recommended widget widgets banner".split()
+    " footer comment comments disqus replies responses discussion discussions feedback reviews share sharing social related recommended widget widgets banner".split()
 )
 #: Words that may stand beside those in a name without changing what it says ("nav-bar", but not "ad-hoc").
 BESIDE = set(

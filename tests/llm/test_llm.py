@@ -238,9 +238,11 @@ def test_html(spark):
         (4, None, None),
         (5, "x", ""),
     ]
+    for i, name in enumerate(("responses", "discussion", "feedback-list", "reviews", "comment-section", "review", "responsesToCritics")):
+        pages.append((10 + i, "http://k/1", f"<article><p>Body {i} text</p><div class='{name}'><p>said a reader {i}</p></div></article>"))
     out = html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string"))
     found = {r.page_id: r.text for r in out.collect()}
-    assert found == {1: "One & two\nA bc d", 2: "Own words here", 3: "Other words there", 4: "", 5: ""}
+    assert found == {1: "One & two\nA bc d", 2: "Own words here", 3: "Other words there", 4: "", 5: ""} | {10 + i: f"Body {i} text" + (f"\nsaid a reader {i}" if i > 4 else "") for i in range(7)}
 
 
 def test_toxicity_on_held_out_rows(spark):
