@@ -91,7 +91,7 @@ def stringified(payload: Column, field: Column) -> Column:
 
 def nesting(x: Column) -> Column:
     """Depth of containers of a JSON text, whatever stands in its strings."""
-    bare = F.regexp_replace(F.regexp_replace(x, r'"(?:\\(?s:.)|[^"\\])*"?', ""), r"[^\[\]{}]", "")
+    bare = F.regexp_replace(F.regexp_replace(x, r'"(?:\\(?s:.)|[^"\\])*+"?', ""), r"[^\[\]{}]", "")
     steps = F.transform(F.split(bare, ""), lambda c: F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0))
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
     step = lambda s, d: F.struct((s["now"] + d).alias("now"), F.greatest(s["most"], s["now"] + d).alias("most"))
@@ -100,14 +100,14 @@ def nesting(x: Column) -> Column:
 
 def longest_number(x: Column) -> Column:
     """Characters of the longest number outside strings of a JSON text."""
-    bare = F.regexp_replace(x, r'"(?:\\(?s:.)|[^"\\])*"?', "\"\"")
+    bare = F.regexp_replace(x, r'"(?:\\(?s:.)|[^"\\])*+"?', "\"\"")
     return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(bare, F.lit(r"([-+.0-9eE]+)"), 1), lambda n: F.length(n))), F.lit(0))
 
 
 def rejection(payload: Column) -> Column:
     """Why a payload is not read; null if it is: too long, a byte order mark, NUL, no JSON object, lone surrogates, not a
     number, numbers or nesting beyond the bounds."""
-    bare = F.regexp_replace(payload, r'"(?:\\(?s:.)|[^"\\])*"?', "\"\"")
+    bare = F.regexp_replace(payload, r'"(?:\\(?s:.)|[^"\\])*+"?', "\"\"")
     lone = r"(?i)\\ud[89ab][0-9a-f]{2}(?!\\ud[c-f][0-9a-f]{2})|(?<!\\ud[89ab][0-9a-f]{2})\\ud[c-f][0-9a-f]{2}"
     return (
         F.when(payload.isNull(), "empty")
@@ -125,7 +125,7 @@ def rejection(payload: Column) -> Column:
 def top_level_strings(payload: Column, *names: str) -> list[Column]:
     """String members of the outermost object, also of a text that was cut off: the last of equal names counts, and what
     is nested does not."""
-    string = r'"((?:\\(?s:.)|[^"\\])*)"'
+    string = r'"((?:\\(?s:.)|[^"\\])*+)"'
 
     def member(name: str) -> Column:
         pieces = F.regexp_extract_all(payload, F.lit(rf'({string}\s*:\s*{string}|{string}|[\[\]{{}}])'), 1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import canonical, documents, shell
 from sluice.functions.compare import compare
-from sluice.operators import files, filesystem, flow, fragments, lineage, operations, secrets, sources
+from sluice.operators import bodies, files, filesystem, flow, fragments, lineage, operations, secrets, sources
 from sluice.operators.metrics import parity
 from sluice.operators.storage import stored
 from sluice.plans.registry import query, read
@@ -216,14 +216,14 @@ e AS MATERIALIZED (SELECT 'content' AS src_kind, seq AS src, 'version' AS dst_ki
 """
 
 
-def file_log(spark, sf_dir) -> DataFrame:
-    """Events as tool calls on five files: some write, some read with a tool, some by a shell command."""
+def file_log(spark, sf_dir, command: str = "cat /") -> DataFrame:
+    """Events as tool calls on five files: some write, some read with a tool, some run a shell command on a file."""
     k = F.get_json_object("props", "$.k")
     path, content = F.concat(F.lit("/f/"), (k.cast("long") % 5).cast("string")), F.concat(F.lit("v"), k)
     own = [F.col("user_id").cast("string").alias("session_id"), F.col("event_id").cast("string").alias("tool_use_id")]
     wrote = F.to_json(F.struct(*own, F.lit("Write").alias("tool_name"), F.struct(path.alias("path"), content.alias("content")).alias("tool_input")))
     shown = F.to_json(F.struct(*own, F.lit("Read").alias("tool_name"), F.struct(path.alias("path")).alias("tool_input"), F.struct(content.alias("content")).alias("tool_response")))
-    ran = F.to_json(F.struct(*own, F.lit("Bash").alias("tool_name"), F.struct(F.concat(F.lit("cat "), path).alias("command")).alias("tool_input")))
+    ran = F.to_json(F.struct(*own, F.lit("Bash").alias("tool_name"), F.lit("/").alias("cwd"), F.struct(F.concat(F.lit(command), F.substring(path, 2, 99)).alias("command")).alias("tool_input")))
     kind = F.col("event_type")
     phase = F.when(kind.isin("click", "signup", "purchase"), "pre_tool_use").otherwise("post_tool_use")
     payload = F.when(kind.isin("click", "signup"), wrote).when(kind == "purchase", ran).otherwise(shown)
@@ -250,6 +250,17 @@ def file_lineage(spark, sf_dir):
     return reached.join(nodes, "node").select("source", "kind", "sequence_no", "hops")
 
 
+@query("""WITH o AS (SELECT user_id, event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS path, 'v' || json_extract_string(props, '$.k') AS h FROM events),
+p AS (SELECT *, last_value(CASE WHEN event_type <> 'purchase' THEN h END IGNORE NULLS) OVER (PARTITION BY user_id, path ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM o)
+SELECT CAST(user_id AS VARCHAR) AS session_id, CASE WHEN held IS NULL THEN 'coarse_fallback' ELSE 'resolved_file' END AS extraction, held AS value,
+  CASE WHEN held IS NULL THEN 'file_reference_unavailable' END AS reason, count(*) AS n FROM p WHERE event_type = 'purchase' GROUP BY ALL""")
+def file_bodies(spark, sf_dir):
+    """What commands send that post a file: its content as the version that held before them has it."""
+    log = file_log(spark, sf_dir, "curl -s --data-binary @")
+    known = stored(operations.with_operations(fragments.contexts(fragments.normalized_events(log))), "contexts")
+    return bodies.bodies(known).groupBy("session_id", "extraction", "value", "reason").agg(F.count("*").alias("n"))
+
+
 @query("""WITH f AS (SELECT event_id, event_type, CASE event_type WHEN 'click' THEN 'a.json' WHEN 'signup' THEN 'b.json' WHEN 'view' THEN '.env' WHEN 'purchase' THEN 'n.md' ELSE 'c.py' END AS name,
   CASE event_type WHEN 'click' THEN ['x' || event_id, 't ' || props, 'last'] WHEN 'signup' THEN ['t ' || props] WHEN 'view' THEN ['key' || event_id] WHEN 'purchase' THEN ['first ' || event_id, 'second' || chr(10) || 'line']
     ELSE ['import x', 'def f():' || chr(10) || '    return ' || event_id, 'class A:' || chr(10) || '    pass'] END AS parts FROM events),

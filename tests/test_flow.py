@@ -164,7 +164,7 @@ def test_a_driver_that_starts_again_goes_on(spark, long_log, chunks, tmp_path):
     stream = lambda: spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).json(source)
     put = lambda rows: rows.coalesce(1).write.mode("append").json(source)
     put(long_log.filter("sequence_no <= 3"))
-    first = incremental.SessionStore(spark, folder, long_log, buckets=4)
+    first = incremental.SessionStore(spark, folder, long_log, buckets=16)
     incremental.Follower(first, chunks, "d", root="/w").start(stream(), at).awaitTermination()
     assert first.last == 0
     put(long_log.filter("sequence_no > 3 and payload like '%\"s2\"%'"))
@@ -174,7 +174,7 @@ def test_a_driver_that_starts_again_goes_on(spark, long_log, chunks, tmp_path):
     with pytest.raises(Exception, match="lost"):
         follower.start(stream(), at).awaitTermination()
     second = incremental.SessionStore(spark, folder, long_log)
-    assert (second.last, second.buckets) == (0, 4)
+    assert (second.last, second.buckets) == (0, 16)
     incremental.Follower(second, chunks, "d", root="/w").start(stream(), at).awaitTermination()
     held = dict(second.held)
     assert second.last == 1 and sorted(set(held.values())) == [0, 1]  # the other session's bucket is as it was
