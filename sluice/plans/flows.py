@@ -90,7 +90,7 @@ def source_binding_edges(spark, sf_dir):
 @query("""SELECT CAST(conv_id AS VARCHAR) AS session_id, turn + 1 AS sequence_no, CASE role WHEN 'user' THEN 'external_search' ELSE 'final_answer' END AS sink_type FROM conversations
   WHERE role = 'user' OR role = 'assistant'""")
 def sink_candidates(spark, sf_dir):
-    return flow.run_adapters(all_contexts(spark, sf_dir))[0].select("session_id", "sequence_no", "sink_type")
+    return flow.all_sinks(all_contexts(spark, sf_dir))[0].select("session_id", "sequence_no", "sink_type")
 
 
 @query("""SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(conv_id AS VARCHAR) || '-' || turn AS call_id, turn + 1 AS first_sequence_no,
