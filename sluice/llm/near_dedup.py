@@ -324,15 +324,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def links(reps: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """Confirmed links whose components are those of all links. reps: rep, th, sketch, prints; docs: doc_id, th, text."""
+def links(reps: DataFrame, docs: DataFrame, size: int, threshold: int, *wide: DataFrame) -> DataFrame:
+    """Confirmed links whose components are those of all links. reps: rep, th, sketch, prints; docs: doc_id, th, text; wide:
+    tables behind reps, which go as soon as their sketches and prints are read."""
+    hashes = stored(reps.select("rep", "th"), "hashes")
     least = threshold / 100 - SLACK
     cells = meetings(reps.select("rep", "sketch"))
     nodes = stored(cells.join(reps, "rep").select("node", "side", "rep", "prints"), "meetings")
-    discard(cells)
+    discard(cells, *wide)
     first = stored(compare(nodes, least), "pairs")
     # Who meets nobody so similar in the first pass does not in the second.
-    named = reps.join(first.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep").select("rep", "th")
+    named = hashes.join(first.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep").select("rep", "th")
     named = stored(named, "named")
     wanted = docs.withColumnRenamed("doc_id", "rep").join(named, ["rep", "th"]).dropDuplicates(["rep", "th"])
     sets = stored(shingle_sets(wanted, size), "sets")
@@ -342,7 +344,7 @@ def links(reps: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFr
     label = stored(label.select("rep", F.coalesce("label", "rep").alias("label")), "label")
     again = nodes.join(label, "rep").select("node", "side", "rep", "label", "prints")
     open_rows = stored(undecided(again, least), "undecided")
-    discard(nodes, first, named, closed, label)
+    discard(nodes, hashes, first, named, closed, label)
     found = stored(met.union(united(open_rows.join(sets, "rep").select("node", "side", "rep", "label", "s"), threshold)), "found")
     discard(met, sets, open_rows)
     return found
@@ -381,18 +383,21 @@ def near_duplicates(documents: DataFrame, size: int = 5, threshold: int = 75) ->
     sketched = stored(sketches(docs, size), "sketches")
     classes = sketched.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2")
     classes = stored(classes.agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("sketch").alias("sketch"), F.first("prints").alias("prints")), "classes")
+    # What the end needs is narrow: sketches and prints don't stay until then.
+    ids = stored(sketched.select("doc_id", "th", "n_shingles", "f1", "f2"), "ids")
+    named = stored(classes.select("f1", "f2", F.col("r.doc_id").alias("rep")), "named")
+    discard(sketched)
     reps = classes.select(F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th"), "sketch", "prints")
-    joined = links(reps, docs, size, threshold)
+    joined = links(reps, docs, size, threshold, classes)
     labels = components(joined)
-    rep = classes.select("f1", "f2", F.col("r.doc_id").alias("node")).join(labels, "node", "left")
+    rep = named.select("f1", "f2", F.col("rep").alias("node")).join(labels, "node", "left")
     rep = rep.select("f1", "f2", F.coalesce("label", "node").alias("component"))
-    ids = sketched.select("doc_id", "th", "n_shingles", "f1", "f2")
     # A doc_id's rows of several texts belong together: their classes share the id.
     out = ids.filter("n_shingles > 0 and doc_id is not null").join(rep, ["f1", "f2"])
     out = out.select("doc_id", "th", "n_shingles", F.least("component", "doc_id").alias("component_id"))
     rest = ids.filter("n_shingles = 0 or doc_id is null").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id"))
     out = stored(out.union(rest), "duplicates")
-    discard(sketched, classes, joined, labels)
+    discard(ids, named, joined, labels)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
