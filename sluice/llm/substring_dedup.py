@@ -86,27 +86,33 @@ class RepeatIndex:
         self.texts.append(docs)
         return self._met(places)
 
-    def repeats(self, met: DataFrame, since: int) -> DataFrame:
+    def repeats(self, met: DataFrame, since: int, last: bool = False) -> DataFrame:
         """(doc_id, th, s, e, words) for the batches from number `since` on, given what ingest() returned for them: spans of
         words covered by windows that also start in a document with a smaller doc_id, of these batches or earlier ones,
         and the words found there. Documents of earlier batches are not changed any more, so bring batches in the order of
-        doc_id."""
+        doc_id. last: no batch comes any more, so that runs and places go as soon as they are read."""
         seen = self.places[0].withColumn("new", F.lit(int(since <= 0)))
         for i, old in enumerate(self.places[1:], 1):
             seen = seen.union(old.withColumn("new", F.lit(int(since <= i))))
         # Places whose fingerprint occurs twice; of earlier batches only for fingerprints of these.
         once = stored(met.distinct(), "hits")  # a table, so that Spark can split the join where many places share an h
         close = stored(seen.join(once, "h", "left_semi"), "met")
-        found = self._said(self._spans(close))
-        discard(once, close)
-        return found
+        discard(once)
+        if last:
+            self._forget()
+        return self._said(self._spans(close))
 
     def close(self) -> None:
-        """Delete the runs and places."""
+        """Delete the runs, places and texts."""
+        self._forget()
+        discard(*(t for t in self.texts if hasattr(t, "stored_at")))
+        self.texts = []
+
+    def _forget(self) -> None:
         for run in self.runs:
             self._drop(run)
-        discard(*self.places, *(t for t in self.texts if hasattr(t, "stored_at")))
-        self.runs, self.places, self.texts = [], [], []
+        discard(*self.places)
+        self.runs, self.places = [], []
 
     def _write(self, rows: DataFrame) -> str:
         name = f"fingerprints_{uuid.uuid4().hex}"
@@ -147,8 +153,8 @@ class RepeatIndex:
         return docs
 
     def _spans(self, close: DataFrame) -> DataFrame:
-        """(SPANS) of the new batch, each with an equal one of a smaller document, by hashes; by that document. The same
-        context in a smaller document: all its windows. Of contexts that share only the fingerprint, all places in the
+        """(SPANS) of the new batch, each with an equal one of a smaller document, by hashes; by that document. close is
+        deleted. The same context in a smaller document: all its windows. Of contexts that share only the fingerprint, all places in the
         smallest document of each show their windows, one by one."""
         width, reach = self.width, self.width - GRAM
         least = [F.col(f"least.{x}").alias(f"least_{x}") for x in ("doc_id", "th", "pos")]
@@ -157,6 +163,7 @@ class RepeatIndex:
         several = stored(several, "several")
         named = stored(first.join(several, "h", "left"), "named")
         placed = stored(close.join(named, ["h", "c"]), "placed")
+        discard(close, first, several, named)
         whole = placed.filter("new = 1 and least_doc_id < doc_id").select("doc_id", "th", "pos", "least_doc_id", "least_th", "least_pos")
         check = placed.filter("several and least_doc_id = doc_id").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("check"), F.max("new").alias("new"))
 
@@ -202,7 +209,7 @@ class RepeatIndex:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["least_doc", "least_th", "spans"])
 
         spans = stored(pairs.mapInArrow(join, SPANS), "spans")
-        discard(first, several, named, placed, shown, equal)
+        discard(placed, shown, equal)
         return spans
 
     def _said(self, spans: DataFrame) -> DataFrame:
@@ -279,7 +286,7 @@ def remove_repeats(documents: DataFrame, width: int = 50, batches: int = 3) -> D
     all_met = met[0]
     for more in met[1:]:
         all_met = all_met.union(more)
-    spans = index.repeats(all_met, 0)
+    spans = index.repeats(all_met, 0, last=True)
     index.close()
     discard(*met)
     spans = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e", "words")).alias("spans"))
