@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.common import (
@@ -36,6 +36,8 @@ from sluice.llm.common import (
 GRAM = 8
 PRINTS = "h long, c long, doc_id long, th long, pos int"
 WINDOWS = "w long, v int, doc_id long, th long, pos int, new int"
+#: Bits that say which documents a table speaks of: 8 MB, whatever the number of documents, in blocks of 4 KB.
+BITS, BLOCK = 1 << 26, 1 << 15
 #: Spans that one row takes at most.
 TOGETHER = 256
 SPAN = [("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("least_s", pa.int32())]
@@ -51,6 +53,28 @@ def contexts(rolling: Rolling, h: np.ndarray, at: np.ndarray, reach: int, length
     return rolling.load(np.concatenate((edge, h, edge))).windows(2 * reach + length, at)
 
 
+def _bit(docs: DataFrame) -> tuple[Column, Column]:
+    """The block, and the place in it, of a row's (doc_id, th)."""
+    at = F.pmod(F.xxhash64(docs["doc_id"], docs["th"]), F.lit(BITS))
+    return F.floor(at / BLOCK).cast("int"), (at % BLOCK).cast("int")
+
+
+def key_bits(keys: DataFrame) -> DataFrame:
+    """(block, bits): a bit for each (doc_id, th) of keys, combined before the shuffle; at most BITS of them."""
+    block, at = _bit(keys)
+    rows = keys.select(block.alias("block"), at.alias("at")).groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits"))
+    return stored(rows, "bits")
+
+
+def with_meets(docs: DataFrame, bits: DataFrame) -> DataFrame:
+    """docs (doc_id, th, ...) with meets: false only where no key has the row's bit, so that its text needn't be shuffled.
+    Bits that many keys share make more rows meet, never fewer."""
+    block, at = _bit(docs)
+    met = docs.join(F.broadcast(bits), block == F.col("block"), "left")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.select(*docs.columns, F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False)).alias("meets"))
+
+
 class RepeatIndex:
     """What earlier batches hold, as runs, and the repeats of a new one in it.
 
@@ -181,7 +205,9 @@ class RepeatIndex:
                     out.append((w, (v >> np.uint64(33)).astype(np.int64), np.full(n, doc_ids[i]), np.full(n, ths[i]), at, np.full(n, new[i])))
                 yield arrays(out, WINDOWS)
 
-        shown = stored(self._all_texts().join(check, ["doc_id", "th"]).mapInArrow(windows, WINDOWS), "windows")
+        bits = key_bits(placed.filter("several and least_doc_id = doc_id").select("doc_id", "th"))
+        docs = with_meets(self._all_texts(), bits).filter("meets").drop("meets")
+        shown = stored(docs.join(check, ["doc_id", "th"]).mapInArrow(windows, WINDOWS), "windows")
         equal = shown.groupBy("w", "v").agg(F.min(F.struct("doc_id", "th", "pos")).alias("least"), F.max("doc_id").alias("most"))
         equal = stored(equal.filter("least.doc_id < most").select("w", "v", *least), "equal")
         single = shown.filter("new = 1").join(equal, ["w", "v"]).filter("least_doc_id < doc_id").select(*whole.columns)
@@ -209,7 +235,7 @@ class RepeatIndex:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["least_doc", "least_th", "spans"])
 
         spans = stored(pairs.mapInArrow(join, SPANS), "spans")
-        discard(placed, shown, equal)
+        discard(placed, shown, equal, bits)
         return spans
 
     def _said(self, spans: DataFrame) -> DataFrame:
@@ -227,9 +253,11 @@ class RepeatIndex:
                     kinds = [kind for _, kind in SPAN[:4]] + [pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "th", "s", "e", "words"])
 
-        docs = self._all_texts().select(F.col("doc_id").alias("least_doc"), F.col("th").alias("least_th"), "text")
+        bits = key_bits(spans.select(F.col("least_doc").alias("doc_id"), F.col("least_th").alias("th")))
+        docs = with_meets(self._all_texts(), bits).filter("meets")
+        docs = docs.select(F.col("doc_id").alias("least_doc"), F.col("th").alias("least_th"), "text")
         out = stored(spans.join(docs, ["least_doc", "least_th"]).select("spans", "text").mapInArrow(say, SAID), "said")
-        discard(spans)
+        discard(spans, bits)
         return out
 
 
@@ -289,6 +317,7 @@ def remove_repeats(documents: DataFrame, width: int = 50, batches: int = 3) -> D
     spans = index.repeats(all_met, 0, last=True)
     index.close()
     discard(*met)
+    bits = key_bits(spans.select("doc_id", "th"))
     spans = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e", "words")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,5 +341,10 @@ def remove_repeats(documents: DataFrame, width: int = 50, batches: int = 3) -> D
 
     more = carried(documents)
     docs = texts(documents, *more)
-    all_docs = docs.join(spans, ["doc_id", "th"], "left").select(*["doc_id", "text", "spans", "carried"][: 3 + len(more)])
+    # Only texts that may lose something are shuffled.
+    columns = ["doc_id", "text", "spans", "carried"][: 3 + len(more)]
+    marked = with_meets(docs, bits)
+    all_docs = marked.filter("meets").join(spans, ["doc_id", "th"], "left").select(*columns)
+    rest = marked.filter("not meets").withColumn("spans", F.lit(None).cast(all_docs.schema["spans"].dataType))
+    all_docs = all_docs.union(rest.select(*columns))
     return all_docs.mapInArrow(cut, with_carried(KEPT, all_docs))

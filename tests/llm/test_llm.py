@@ -392,3 +392,16 @@ def test_substring_dedup_compares_words(spark, rows, monkeypatch):
     docs = [(1, text), (2, " ".join(f"v{i}" for i in range(90))), (3, text)]
     out = {r.doc_id: len(r.kept_text.split()) for r in substring_dedup.remove_repeats(make(spark, docs)).collect()}
     assert out[1] == out[2] == 90
+
+
+def test_key_bits_miss_no_key(spark, rows, monkeypatch):
+    """Whatever the number of bits, a row whose key is there meets; with enough of them few others do; no keys, no row."""
+    docs = spark.range(4000).selectExpr("id as doc_id", "id * 7 as th", "'x' as text")
+    for bits, most in ((1 << 26, 5), (1 << 15, 120), (8, 3000)):
+        monkeypatch.setattr(substring_dedup, "BITS", bits)
+        out = substring_dedup.with_meets(docs, substring_dedup.key_bits(docs.filter("doc_id >= 3000").select("doc_id", "th"))).collect()
+        assert len(out) == 4000 and all(r.meets for r in out if r.doc_id >= 3000)
+        assert sum(r.meets for r in out if r.doc_id < 3000) <= most
+    assert not substring_dedup.with_meets(docs, substring_dedup.key_bits(docs.filter("doc_id < 0"))).filter("meets").count()
+    monkeypatch.setattr(substring_dedup, "BITS", 16)
+    test_substring_dedup(spark, rows)
