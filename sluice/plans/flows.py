@@ -339,3 +339,27 @@ def latest_outcome(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
     done = F.when(F.col("event_type").isin("error", "purchase"), F.col("event_id"))
     return read(spark, sf_dir, "events").select("user_id", "event_id", F.last(done, ignorenulls=True).over(w).alias("outcome_id"))
+
+
+@query("""WITH o AS (SELECT event_id, event_type, user_id AS s, CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS u FROM events),
+b AS (SELECT 'all' AS answers, max(event_id) AS most FROM events UNION ALL SELECT 'half', max(event_id) // 2 FROM events),
+c AS (SELECT answers, s, u, min(event_id) AS sequence_no FROM o, b WHERE event_type IN ('click', 'purchase') GROUP BY ALL),
+p AS (SELECT answers, s, u, arg_max(event_type, event_id) AS last, max(event_id) AS answer_no FROM o, b WHERE event_type NOT IN ('click', 'purchase') AND event_id <= most GROUP BY ALL)
+SELECT c.answers, sequence_no, CASE last WHEN 'view' THEN 'succeeded' WHEN 'signup' THEN 'failed' ELSE 'unknown' END AS outcome,
+  CASE WHEN last = 'view' THEN 'exit_code:0' WHEN last = 'signup' THEN 'exit_code:2' WHEN last IS NOT NULL THEN 'success_unconfirmed' END AS evidence, answer_no
+FROM c LEFT JOIN p ON c.answers = p.answers AND c.s IS NOT DISTINCT FROM p.s AND c.u IS NOT DISTINCT FROM p.u""")
+def operation_outcomes(spark, sf_dir):
+    """What the last answer says about each operation of a command, by all answers and by those of the first half."""
+    own = [F.col("user_id").cast("string").alias("session_id"), (F.get_json_object("props", "$.k").cast("long") % 5).cast("string").alias("tool_use_id"), F.lit("Bash").alias("tool_name"), F.col("event_id").cast("string").alias("turn_id")]
+    ran = F.to_json(F.struct(*own, F.struct(F.concat(F.lit("cat /f/"), own[1]).alias("command")).alias("tool_input")))
+    code = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "signup", 2)
+    answer = F.to_json(F.struct(*own, F.struct(code.alias("exit_code"), F.lit("read").alias("stdout")).alias("tool_response")))
+    asks = F.col("event_type").isin("click", "purchase")
+    t = read(spark, sf_dir, "events")
+    log = t.select(F.when(asks, "pre_tool_use").otherwise("post_tool_use").alias("phase"), F.when(asks, ran).otherwise(answer).alias("payload"), F.col("event_id").alias("sequence_no"), F.lit("w").alias("workspace_id"))
+    known = stored(fragments.normalized_events(log), "events")
+    found, said = stored(operations.operations(fragments.contexts(known)), "operations"), stored(fragments.outcomes(known), "outcomes")
+    most = t.agg(F.max("event_id")).first()[0] or 0
+    answer_no = known.select(F.col("event_id").alias("outcome_event_id"), F.col("sequence_no").alias("answer_no"))
+    by = lambda name, through: operations.with_outcomes(found, known, said, through).join(answer_no, "outcome_event_id", "left").select(F.lit(name).alias("answers"), "sequence_no", "outcome", F.col("outcome_evidence").alias("evidence"), "answer_no")
+    return by("all", None).union(by("half", most // 2))
