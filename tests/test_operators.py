@@ -2,11 +2,21 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import text as T
-from sluice.operators import fragments, lineage, tables
+from sluice.operators import fragments, lineage, retrieval, tables
 from sluice.sources import events
 from sluice.streaming import ingest
 
 
+def test_features_are_not_broadcast(spark):
+    """However few texts the planner sees: their features are many times as many rows."""
+    rows = spark.createDataFrame([(1, "s", 0, "some words here"), (2, "s", 1, "some words there")], "id long, scope string, sequence_no int, text string")
+    index = retrieval.index(rows)
+    met = retrieval.overlaps(index, index)
+    assert [(r.query_id, r.candidate_id, r.overlap) for r in met.collect()] == [(2, 1, 7)]
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [s#" in plan and "BroadcastHashJoin [s#" not in plan
+
+
 def test_leaves_walk_and_escape(spark):
     rows = [("1", "tool_input", '{"a/b": {"c~": [1, null, "x"]}, "t": true}'), ("2", "tool_input", "nope"), ("3", "x", "[[[1.5]]]"), ("4", "x", '"s"')]
     out = fragments.leaves(spark.createDataFrame(rows, "artifact_id string, artifact_role string, text string")).collect()
