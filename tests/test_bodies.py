@@ -49,3 +49,20 @@ def test_a_protected_file_is_blocked_before_it_is_sent(spark):
     use = {r.node_id: r.tool_use_id for r in sinks.collect()}
     assert [(use[r.node], r.action, r.source, r.evidence_kind) for r in told] == [("c1", "block", "c", "resolved_file_exact")]
     assert evidence.filter(F.col("snapshot") == "pre_execution_file_snapshot").count() == 2
+
+
+def test_a_value_that_many_sinks_send_is_compared_once(spark, monkeypatch):
+    made = {}
+
+    def kept(df, name="part"):
+        made[name] = stored(df, name)
+        return made[name]
+
+    monkeypatch.setattr(workflow, "stored", kept, raising=False)
+    values = ["note " + SECRET, SECRET, "public", None]
+    rows = spark.createDataFrame([("w", f"s{i}", 0, "static_values", values[i % 4]) for i in range(40)], "workspace_id string, sink_id string, segment_index int, extraction string, value string")
+    chunks = spark.createDataFrame([("w", "c", SECRET, None), ("w", "d", SECRET, "registered_source"), ("v", "e", "public", None)], "workspace_id string, chunk_id string, text string, signal string")
+    found = {int(r.sink_id[1:]): [tuple(m) for m in r.matches] for r in workflow.payload_evidence(rows, chunks).collect()}
+    method = {0: "resolved_payload_exact_substring", 1: "resolved_payload_exact"}
+    assert found == {i: [(c, method[i % 4]) for c in "cd"] if i % 4 in method else [] for i in range(40)}
+    assert made["compared"].count() == 2
