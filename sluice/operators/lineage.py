@@ -9,6 +9,8 @@ from sluice.operators.storage import discard, stored
 
 #: Frontiers that are kept apart before they are merged into one table.
 MERGE_EVERY = 6
+#: Nodes that edges lead to which every executor gets.
+MOST_ENDS = 1_000_000
 #: Sink types that a critical finding blocks, order of actions, and what is said to a user.
 BLOCKED = (
     "external_http_request external_message external_git_publish external_package_publish external_deploy external_search"
@@ -34,34 +36,47 @@ def _best(rows: DataFrame) -> DataFrame:
 def _extended(known: DataFrame, start: DataFrame, edges: DataFrame, least: float) -> tuple[DataFrame, list[DataFrame]]:
     """Follow edges from the rows of start until nothing improves: (known with all that was found, what was written).
 
-    Each hop writes its frontier only; what is known is the best of all frontiers, merged into one table now and then.
+    Each hop writes its frontier only; what is known is the best of all frontiers, merged into one table now and then. A hop
+    ends at nodes that edges lead to. Where these are few enough for every executor, known rows of other nodes are never
+    looked up, and of the edges only those that start at them are read from the second hop on.
     """
-    edges = stored(edges.select(F.col("src").alias("node"), "dst", F.col("score").alias("w"), F.col("edge_id").alias("e")), "edges")
-    parts, frontier = [known], start
+    mine = not hasattr(edges, "stored_at")
+    edges = edges.select(F.col("src").alias("node"), "dst", F.col("score").alias("w"), F.col("edge_id").alias("e"))
+    edges = stored(edges, "edges") if mine else edges
+    ends = stored(edges.select(F.col("dst").alias("node")).distinct(), "ends")
+    few = ends.count() <= MOST_ENDS
+    at_ends = lambda rows: rows.join(F.broadcast(ends), "node", "left_semi") if few else rows
+    parts, frontier, used, better = [known], start, [edges], False
     while not frontier.isEmpty():
-        step = frontier.join(edges, "node")
+        if few and len(used) == 1 and frontier is not start:
+            used.append(stored(at_ends(edges), "edges"))
+        step = frontier.join(used[-1], "node")
         step = step.select("source", F.col("dst").alias("node"), (F.col("score") * F.col("w")).alias("score"), (F.col("hops") + 1).alias("hops"), F.col("e").alias("edge_id"))
-        old = parts[0]
+        old = at_ends(parts[0]).select("source", "node", "score")
         for part in parts[1:]:
-            old = old.unionByName(part)
-        old = old.groupBy("source", "node").agg(F.max("score").alias("old"))
+            old = old.unionByName(part.select("source", "node", "score"))
+        old = old.groupBy("source", "node").agg(F.max("score").alias("old"), F.lit(True).alias("seen"))
         step = _best(step.filter(F.col("score") >= least)).join(old, ["source", "node"], "left")
-        frontier = stored(step.filter("old is null or score > old").drop("old"), "frontier")
+        found = stored(step.filter("old is null or score > old").drop("old"), "frontier")
+        better = better or not found.filter("seen").isEmpty()
+        frontier = found.drop("seen")
+        frontier.stored_at = found.stored_at
         parts.append(frontier)
         if len(parts) > MERGE_EVERY:
-            merged = stored(_latest(parts), "known")
+            merged = stored(_latest(parts, better), "known")
             discard(*parts[1:-1])
-            parts = [merged]
-    discard(edges)
-    return _latest(parts), parts
+            parts, better = [merged], False
+    discard(*(used if mine else used[1:]), ends)
+    return _latest(parts, better), parts
 
 
-def _latest(parts: list[DataFrame]) -> DataFrame:
-    """The best row of each source and node: a later frontier holds only better ones."""
+def _latest(parts: list[DataFrame], better: bool) -> DataFrame:
+    """The best row of each source and node: a later frontier holds only better ones. better: whether any frontier holds a
+    row of what was known before it; if none does, all rows stay."""
     rows = parts[0].select(*ASSIGNED)
     for part in parts[1:]:
         rows = rows.unionByName(part.select(*ASSIGNED))
-    return _best(rows)
+    return _best(rows) if better else rows
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, least: float = 0.15) -> DataFrame:
@@ -84,7 +99,7 @@ def propagate_new(known: DataFrame, seeds: DataFrame, edges: DataFrame, least: f
     better = stored(fresh.filter("old is null or score > old").drop("old"), "better")
     reached = known.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_semi").select(*ASSIGNED)
     start = stored(_best(better.unionByName(reached)), "start")
-    found = _extended(known.unionByName(better.select(*ASSIGNED)), start, edges, least)[0]
+    found = _extended(_best(known.unionByName(better.select(*ASSIGNED))), start, edges, least)[0]
     return found.join(old, ["source", "node"], "left").filter("old is null or score > old").drop("old")
 
 
@@ -98,6 +113,8 @@ def paths(lineage: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame
     # hops falls with each step back, so that this ends whatever the edges are.
     while not rows.isEmpty():
         back = rows.filter("previous <> source").select("source", "target", F.col("previous").alias("node"), F.col("hops").alias("bound"))
+        if back.isEmpty():
+            break
         rows = stored(back.join(came, ["source", "node"]).filter("hops < bound").select("source", "target", "hops", "edge_id", "previous", "node"), "walk")
         parts.append(rows)
     found = parts[0].select("source", "target", F.col("hops").alias("step"), "node", "edge_id")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import text as T
-from sluice.operators import fragments, lineage, retrieval, tables
+from sluice.operators import fragments, lineage, retrieval, storage, tables
 from sluice.sources import events
 from sluice.streaming import ingest
 
@@ -110,3 +110,29 @@ def test_report_is_replaced(spark, tmp_path):
         assert events.read_report(spark, folder).first().n == n
     names = sorted(p.name for p in (tmp_path / "reports").iterdir() if not p.name.startswith("."))
     assert names == ["report-2.json", "report-3.json"]  # the one before stays, for who is reading it
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_lineage_looks_up_ends_only(spark, monkeypatch, most):
+    """Edges that start where none ends are read in the first hop only; the result is the same whether or not ends are few."""
+    monkeypatch.setattr(lineage, "MOST_ENDS", most, raising=False)
+    made = []
+
+    def kept(df, name="part"):
+        made.append((name, df.count()))
+        return storage.stored(df, name)
+
+    monkeypatch.setattr(lineage, "stored", kept)
+    seeds = spark.createDataFrame([("s", "a", 0.9, "e0"), ("s", "c", 0.2, "e9"), ("t", "c", 0.5, "e8")], "source string, node string, score double, edge_id string")
+    edges = [("a", "b", 0.9, "e1"), ("x", "b", 0.9, "e2"), ("y", "c", 0.9, "e3"), ("b", "c", 1.0, "e4")]
+    out = lineage.propagate(seeds, spark.createDataFrame(edges, "src string, dst string, score double, edge_id string"))
+    found = sorted((r.source, r.node, round(r.score, 6), r.hops, r.edge_id) for r in out.collect())
+    assert found == [("s", "a", 0.9, 1, "e0"), ("s", "b", 0.81, 2, "e1"), ("s", "c", 0.81, 3, "e4"), ("t", "c", 0.5, 1, "e8")]
+    assert [n for name, n in made if name == "edges"] == ([4, 1] if most else [4])
+    assert not [n for name, n in made if name == "ends" and n != 2]
+
+
+def test_lineage_without_better_paths_is_not_shuffled_again(spark):
+    seeds = spark.createDataFrame([("s", "a", 0.9, "e0")], "source string, node string, score double, edge_id string")
+    out = lineage.propagate(seeds, spark.createDataFrame([("a", "b", 0.9, "e1")], "src string, dst string, score double, edge_id string"))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 2
