@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import canonical
 from sluice.functions.compare import compare, compare_binding
-from sluice.operators import filesystem, flow, fragments, lineage, secrets, workflow
+from sluice.operators import filesystem, flow, fragments, lineage, retrieval, secrets, workflow
 from sluice.operators.metrics import parity
 from sluice.operators.storage import stored
 from sluice.plans.flows import told
@@ -277,3 +277,31 @@ def test_profiles(spark):
     out = {r.call_id: r.rejection for r in workflow.validated(spark.createDataFrame(calls, "call_id string, server string, tool string, arguments string"), profiles).collect()}
     assert out == {"a": None, "b": "missing_field", "c": "wrong_type", "d": "unknown_field", "e": "unknown_profile"}
     assert workflow.registry_version(profiles).first().version == workflow.registry_version(profiles).first().version
+
+
+def test_candidates_of_a_workspace_are_counted_in_blocks(spark, monkeypatch):
+    texts = [f"the {a} went to the {b} by {c}" for a in ("harbor", "market", "station", "old mill") for b in ("gate", "bridge", "north yard") for c in ("night", "noon", "number two", "number 2")]
+    rows = spark.createDataFrame([(f"f{i:02d}", t) for i, t in enumerate(texts)], "id string, text string")
+    x = canonical.with_prepared(rows, "text").selectExpr("id", "'w' AS scope", "0 AS sequence_no", "length(text) AS n_chars", "prepared.features AS features", "array(xxhash64(text)) AS keys", "prepared")
+    index = retrieval.features(x, "keys", "prepared")
+    plain = retrieval.overlaps(index, index, forward=False)
+    want = {(r.query_id, r.candidate_id, r.overlap) for r in retrieval.top_candidates(plain, 6).collect()}
+    for size in (10**6, 200):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", size)
+        monkeypatch.setattr(retrieval, "CANDIDATE_BLOCK", size)
+        found = retrieval.best_overlaps(index, index, 6)
+        assert {(r.query_id, r.candidate_id, r.overlap) for r in retrieval.top_candidates(found, 6).collect()} == want
+    shared = index.withColumn("keys", F.array(F.lit(1).cast("long")))
+    assert retrieval.best_overlaps(shared, shared, 6).count() == 0
+
+
+def test_pairs_left_out_before_the_comparison_match_by_nothing(spark):
+    texts = ["send two reports to the harbor", "send 2 reports to the harbor", "ship sequence ten", "ship sequences 10", "a%20b c1234567%2Fx", "a b c1234567/x", "key ZX81-4471-QPLM", "the key ZX81-4471-QPLM is for the gate", "the harbor gate opens at noon", "noon opens at the gate of the harbor", "abcd", "abcd efgh", "never send two reports to the harbor"]
+    rows = canonical.with_prepared(spark.createDataFrame([(f"f{i:02d}", t) for i, t in enumerate(texts)], "id string, text string"), "text")
+    index = retrieval.features(rows.selectExpr("id", "'w' AS scope", "0 AS sequence_no", "length(text) AS n_chars", "prepared.features AS features"))
+    met = retrieval.overlaps(index, index, forward=False)
+    kept = {(r.query_id, r.candidate_id) for r in flow.possible(met, rows, rows).collect()}
+    sides = rows.select(F.col("id").alias("query_id"), F.col("prepared").alias("a")), rows.select(F.col("id").alias("candidate_id"), F.col("prepared").alias("b"))
+    decided = met.join(sides[0], "query_id").join(sides[1], "candidate_id").select("query_id", "candidate_id", compare(F.col("a"), F.col("b"), 4)["matched"].alias("matched")).collect()
+    matched = {(r.query_id, r.candidate_id) for r in decided if r.matched}
+    assert matched and matched <= kept and len(kept) < len(decided)
