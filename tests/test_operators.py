@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +138,18 @@ def test_lineage_without_better_paths_is_not_shuffled_again(spark):
     seeds = spark.createDataFrame([("s", "a", 0.9, "e0")], "source string, node string, score double, edge_id string")
     out = lineage.propagate(seeds, spark.createDataFrame([("a", "b", 0.9, "e1")], "src string, dst string, score double, edge_id string"))
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 2
+
+
+def test_contexts_shuffle_nothing(spark):
+    """The fragments of artifacts, each with every event that has its id, without a join or a sort of texts."""
+    call = json.dumps({"session_id": "s", "tool_use_id": "u", "tool_name": "Write", "tool_input": {"path": "a/b", "n": [1, {"x~y": "Z  z"}], "": "e"}, "tool_response": "Z  z"})
+    said = json.dumps({"session_id": "s", "last_assistant_message": "same", "message": "same", "response": {"a": None}})
+    rows = [("pre_tool_use", call, 1, "w"), ("post_tool_use", call, 2, None), ("post_tool_use", call, 3, None), ("stop", said, 4, "w"), ("other", said, 5, "w")]
+    events = fragments.normalized_events(spark.createDataFrame(rows, "phase string, payload string, sequence_no long, workspace_id string"))
+    out = fragments.contexts(events)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    found = fragments.artifacts(events)
+    whole = fragments.fragments(found).dropDuplicates(["fragment_id"]).join(found.select("artifact_id", "event_id", "artifact_role").distinct(), "artifact_id")
+    whole = whole.join(events.drop("payload", "stop_hook_active"), "event_id")
+    key = lambda r: (r.sequence_no, r.fragment_id)
+    assert sorted(out.collect(), key=key) == sorted(whole.select(*out.columns).collect(), key=key) and out.count() > 20
