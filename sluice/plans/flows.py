@@ -14,12 +14,12 @@ from sluice.functions.compare import compare
 from sluice.operators import bodies, files, filesystem, flow, fragments, lineage, operations, secrets, sources
 from sluice.operators.metrics import parity
 from sluice.operators.storage import discard, stored
-from sluice.plans.registry import query, read
+from sluice.plans.registry import query, read, spread
 from sluice.streaming import incremental
 
 
 def payloads(spark, sf_dir) -> DataFrame:
-    t = read(spark, sf_dir, "conversations")
+    t = spread(read(spark, sf_dir, "conversations"))
     own = [F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("string").alias("turn_id"), F.concat_ws("-", "conv_id", "turn").alias("tool_use_id")]
     asked = F.to_json(F.struct(*own, F.lit("web_search").alias("tool_name"), F.struct(F.col("text").alias("query")).alias("tool_input")))
     told = F.to_json(F.struct(*own, F.lit("read").alias("tool_name"), F.struct(F.col("text").alias("content")).alias("tool_response")))
@@ -125,7 +125,7 @@ def commands(spark, sf_dir) -> DataFrame:
     for k, pattern in COMMANDS.items():
         before, after = pattern.split("{}")
         command = F.when(F.col("p_partkey") % 4 == k, F.concat(F.lit(before), "p_name", F.lit(after))).otherwise(command)
-    return read(spark, sf_dir, "part").select("p_partkey", "p_name", command.alias("command"))
+    return spread(read(spark, sf_dir, "part").select("p_partkey", "p_name")).select("p_partkey", "p_name", command.alias("command"))
 
 
 @query("""SELECT p_partkey, s.* FROM (SELECT p_partkey, unnest(CASE p_partkey % 4
@@ -151,7 +151,7 @@ def http_submissions(spark, sf_dir):
 @query("""SELECT p_partkey, unnest(['add', 'update', 'delete']) AS operation, unnest([p_name || '.py', 'b', 'c']) AS path, unnest([NULL, p_brand, NULL]) AS move_to,
   unnest([sha256(p_name), sha256('new'), sha256('')]) AS added_hash FROM part""")
 def patch_files(spark, sf_dir):
-    t = read(spark, sf_dir, "part")
+    t = spread(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"))
     patch = F.concat_ws("\n", F.lit("*** Begin Patch"), F.concat(F.lit("*** Add File: "), "p_name", F.lit(".py")), F.concat(F.lit("+"), "p_name"), F.lit("*** Update File: b"), F.concat(F.lit("*** Move to: "), "p_brand"), F.lit("@@\n-old\n+new"), F.lit("*** Delete File: c"), F.lit("*** End Patch"))
     rows = t.select("p_partkey", F.explode(documents.patch_operations(patch)).alias("o"))
     return rows.select("p_partkey", "o.operation", "o.path", "o.move_to", F.sha2(F.col("o.added").cast("binary"), 256).alias("added_hash"))
@@ -167,7 +167,7 @@ def dotenv_values(spark, sf_dir):
 @query("""SELECT 's/' || c_custkey || '/' || CASE c_custkey % 2 WHEN 0 THEN '.env' ELSE 'a.json' END AS path, CASE c_custkey % 2 WHEN 0 THEN 'dotenv_keys' ELSE 'json_pointers' END AS kind,
   CASE c_custkey % 2 WHEN 0 THEN 'API_KEY' ELSE '/db/dbPassword' END AS selectors, CAST(NULL AS VARCHAR) AS problem FROM customer""")
 def secret_selectors(spark, sf_dir):
-    t = read(spark, sf_dir, "customer")
+    t = spread(read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"))
     env = F.concat(F.lit("NAME="), "c_mktsegment", F.lit("\nAPI_KEY=z9"), F.col("c_custkey").cast("string"), F.lit("q\nAUTH_TOKEN=${TOKEN}\nPASSWORD=changeme\nTOKEN_TYPE=Bearer\n"))
     doc = F.concat(F.lit('{"db": {"dbPassword": "p9'), F.col("c_custkey").cast("string"), F.lit('", "secret_ref": "vault://x", "token_url": "https://x/y"}, "keys": ["a"]}'))
     even = F.col("c_custkey") % 2 == 0
@@ -232,7 +232,7 @@ def file_log(spark, sf_dir, command: str = "cat /") -> DataFrame:
     kind = F.col("event_type")
     phase = F.when(kind.isin("click", "signup", "purchase"), "pre_tool_use").otherwise("post_tool_use")
     payload = F.when(kind.isin("click", "signup"), wrote).when(kind == "purchase", ran).otherwise(shown)
-    return read(spark, sf_dir, "events").select(phase.alias("phase"), payload.alias("payload"), F.col("event_id").alias("sequence_no"), F.lit("w").alias("workspace_id"))
+    return spread(read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")).select(phase.alias("phase"), payload.alias("payload"), F.col("event_id").alias("sequence_no"), F.lit("w").alias("workspace_id"))
 
 
 @query(FLOW_SQL + """r AS (SELECT 'signup' AS source, 'content' AS kind, seq, 1 AS hops FROM v WHERE event_type = 'signup'

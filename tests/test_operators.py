@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import text as T
 from sluice.operators import fragments, lineage, retrieval, storage, tables
+from sluice.plans import flows, registry
 from sluice.sources import events
 from sluice.streaming import ingest
 
@@ -153,3 +154,10 @@ def test_contexts_shuffle_nothing(spark):
     whole = whole.join(events.drop("payload", "stop_hook_active"), "event_id")
     key = lambda r: (r.sequence_no, r.fragment_id)
     assert sorted(out.collect(), key=key) == sorted(whole.select(*out.columns).collect(), key=key) and out.count() > 20
+
+
+def test_work_on_each_row_is_spread(spark):
+    """A small file is one task's to read, but not to work on."""
+    folder = "/root/testdata/sf0.001"
+    assert registry.read(spark, folder, "part").rdd.getNumPartitions() == 1
+    assert flows.commands(spark, folder).rdd.getNumPartitions() == 4 and flows.payloads(spark, folder).rdd.getNumPartitions() == 4
