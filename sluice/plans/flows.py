@@ -235,23 +235,32 @@ def file_log(spark, sf_dir, command: str = "cat /") -> DataFrame:
     return spread(read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")).select(phase.alias("phase"), payload.alias("payload"), F.col("event_id").alias("sequence_no"), F.lit("w").alias("workspace_id"))
 
 
+def file_contexts(log) -> DataFrame:
+    """Contexts of file_log() as a table, without the forms that only comparisons read."""
+    known = operations.with_operations(fragments.contexts(fragments.normalized_events(log)))
+    return stored(known.drop("text_hash", "normalized_text", "token_count"), "contexts")
+
+
 @query(FLOW_SQL + """r AS (SELECT 'signup' AS source, 'content' AS kind, seq, 1 AS hops FROM v WHERE event_type = 'signup'
   UNION ALL SELECT 'path ' || path, 'version', seq, 1 FROM v WHERE makes AND path IN ('/f/0', '/f/3')
   UNION ALL SELECT r.source, e.dst_kind, e.dst, r.hops + 1 FROM r JOIN e ON e.src_kind = r.kind AND e.src = r.seq)
 SELECT source, kind, seq AS sequence_no, min(hops) AS hops FROM r GROUP BY ALL""")
 def file_lineage(spark, sf_dir):
     """Where what signups write, and what two protected paths hold, goes through files: nodes by the event that made them."""
-    known = stored(operations.with_operations(fragments.contexts(fragments.normalized_events(file_log(spark, sf_dir)))), "contexts")
+    known = file_contexts(file_log(spark, sf_dir))
     made, edges = files.file_flow(known)
-    made, edges = stored(made, "resources"), stored(edges, "file_edges")
+    made = stored(made.select("node_id", "workspace_id", "path", "sequence_no", "state"), "resources")
+    edges = stored(edges.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "score", "edge_id"), "edges")
     protected = spark.createDataFrame([(f"path {p}", "w", p) for p in ("/f/0", "/f/3")], "source_id string, workspace_id string, path string")
     bound = flow.path_bindings(protected, made)
     written = read(spark, sf_dir, "events").filter("event_type = 'signup'").select(F.col("event_id").alias("sequence_no"))
     starts = known.filter("phase = 'pre_tool_use' and semantic_role = 'content' and json_pointer <> '/'").join(written, "sequence_no").select(F.lit("signup").alias("source"), F.col("fragment_id").alias("node"))
     seeds = starts.select("source", "node", F.lit(1.0).alias("score"), F.lit("").alias("edge_id")).union(bound.select("src_id", "dst_id", "score", "edge_id"))
-    reached = lineage.propagate(seeds, edges.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "score", "edge_id"))
+    reached = lineage.propagate(seeds, edges)
     kind = F.when(F.col("fragment_kind") == "bash_segment", "command").otherwise("content")
-    nodes = known.select(F.col("fragment_id").alias("node"), kind.alias("kind"), "sequence_no").union(made.select("node_id", F.lit("version"), "sequence_no"))
+    # Paths, keys and, where they have leaves, whole texts are no ends of edges.
+    held = known.filter("json_pointer <> '/' and (fragment_kind = 'bash_segment' or semantic_role = 'content')")
+    nodes = held.select(F.col("fragment_id").alias("node"), kind.alias("kind"), "sequence_no").union(made.select("node_id", F.lit("version"), "sequence_no"))
     return reached.join(nodes, "node").select("source", "kind", "sequence_no", "hops")
 
 
@@ -262,7 +271,7 @@ SELECT CAST(user_id AS VARCHAR) AS session_id, CASE WHEN held IS NULL THEN 'coar
 def file_bodies(spark, sf_dir):
     """What commands send that post a file: its content as the version that held before them has it."""
     log = file_log(spark, sf_dir, "curl -s --data-binary @")
-    known = stored(operations.with_operations(fragments.contexts(fragments.normalized_events(log))), "contexts")
+    known = file_contexts(log)
     return bodies.bodies(known).groupBy("session_id", "extraction", "value", "reason").agg(F.count("*").alias("n"))
 
 

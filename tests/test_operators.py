@@ -161,3 +161,12 @@ def test_work_on_each_row_is_spread(spark):
     folder = "/root/testdata/sf0.001"
     assert registry.read(spark, folder, "part").rdd.getNumPartitions() == 1
     assert flows.commands(spark, folder).rdd.getNumPartitions() == 4 and flows.payloads(spark, folder).rdd.getNumPartitions() == 4
+
+
+def test_stored_tables_are_small(spark):
+    """Ids of hexadecimal digits take little more than half a byte each."""
+    ids = spark.range(20000).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("id"))
+    out = storage.stored(ids)
+    place = spark._jvm.org.apache.hadoop.fs.Path(out.stored_at)
+    size = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    assert size < 0.6 * 64 * 20000 and out.exceptAll(ids).isEmpty()
