@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions import shell
-from sluice.operators.files import chain, steps
+from sluice.operators.files import CONTENT_ROLES, chain, steps
 from sluice.operators.filesystem import normal_path
 from sluice.operators.fragments import SHELL_TOOLS, tool_kind
 from sluice.operators.operations import commands, call_key, segment_id
@@ -19,7 +19,9 @@ MOST_REFERENCES, MOST_PATH_BYTES = 8, 4096
 def version_texts(rows: DataFrame, contexts: DataFrame) -> DataFrame:
     """(node_id, content) of versions (files.chain()) whose content one fragment shows: what a tool wrote or read."""
     told = rows.filter("makes and kind in ('tool_write', 'tool_read') and size(fragments) = 1")
-    return told.select(F.col("own_id").alias("node_id"), F.col("fragments")[0].alias("fragment_id")).join(contexts.select("fragment_id", F.col("text").alias("content")), "fragment_id").select("node_id", "content")
+    # Other texts are never a step's content (files.calls()), and not shuffled.
+    shown = contexts.filter(F.col("semantic_role").isin(*CONTENT_ROLES)).select("fragment_id", F.col("text").alias("content"))
+    return told.select(F.col("own_id").alias("node_id"), F.col("fragments")[0].alias("fragment_id")).join(shown, "fragment_id").select("node_id", "content")
 
 
 def _looks(references: DataFrame, like: DataFrame) -> DataFrame:
@@ -69,7 +71,10 @@ def bodies(contexts: DataFrame, root: str | None = None, known: DataFrame | None
     operations = steps(contexts, root)
     asked = at.filter("whole is not null").select("call_key", "workspace_id", "session_id", "tool_use_id", "at", F.col("whole").alias("path"), "link")
     followed = stored(chain(operations.unionByName(_looks(asked, operations)), known), "followed")
-    held = followed.filter("kind = 'body'").select("link", F.col("before_id").alias("node_id")).join(version_texts(followed, contexts), "node_id", "left")
+    held = followed.filter("kind = 'body' and before_id is not null").select("link", F.col("before_id").alias("node_id"))
+    # Most versions are never sent, and their content is not looked up.
+    asked_for = followed.join(held.select(F.col("node_id").alias("own_id")).distinct(), "own_id", "left_semi")
+    held = held.join(version_texts(asked_for, contexts), "node_id")
     found = at.join(held.select("link", "content"), "link", "left")
     value = F.when(path.isNull(), F.col("part.value")).otherwise(F.col("content"))
     reason = F.when(path.isNotNull(), F.coalesce("refused", F.when(F.col("content").isNull(), "file_reference_unavailable"), F.when(F.contains("content", F.lit("\0")), "resolved_payload_not_text")))

@@ -66,3 +66,10 @@ def test_a_value_that_many_sinks_send_is_compared_once(spark, monkeypatch):
     method = {0: "resolved_payload_exact_substring", 1: "resolved_payload_exact"}
     assert found == {i: [(c, method[i % 4]) for c in "cd"] if i % 4 in method else [] for i in range(40)}
     assert made["compared"].count() == 2
+
+
+def test_only_texts_that_may_be_content_are_looked_up(spark):
+    """Paths, keys and roots of calls are most of a log; they are not joined with versions."""
+    made = spark.createDataFrame([(True, "tool_write", ["f1"], "n1"), (True, "tool_write", ["f2"], "n2")], "makes boolean, kind string, fragments array<string>, own_id string")
+    known = spark.createDataFrame([("f1", "content", "x"), ("f2", "path", "y")], "fragment_id string, semantic_role string, text string")
+    assert [tuple(r) for r in bodies.version_texts(made, known).collect()] == [("n1", "x")]
