@@ -305,3 +305,29 @@ def test_pairs_left_out_before_the_comparison_match_by_nothing(spark):
     decided = met.join(sides[0], "query_id").join(sides[1], "candidate_id").select("query_id", "candidate_id", compare(F.col("a"), F.col("b"), 4)["matched"].alias("matched")).collect()
     matched = {(r.query_id, r.candidate_id) for r in decided if r.matched}
     assert matched and matched <= kept and len(kept) < len(decided)
+
+
+def test_fragments_of_a_scope_meet_without_a_row_for_each_feature(spark, monkeypatch):
+    texts = [f"the {a} went to the {b} by {c}" for a in ("harbor", "market", "old mill") for b in ("gate", "bridge") for c in ("night", "noon", "number two")]
+    rows = spark.createDataFrame([(f"f{i:02d}", f"s{i % 2}", i // 3, t) for i, t in enumerate(texts)], "id string, scope string, sequence_no int, text string")
+    x = canonical.with_prepared(rows, "text").selectExpr("id AS fragment_id", "scope", "sequence_no", "prepared.normalized AS normalized_text", "prepared")
+    index = retrieval.index(rows)
+    asked = rows.filter("id not like '%4'").select("id", "scope")
+    plain = retrieval.overlaps(index.join(asked.select("id"), "id", "left_semi"), index)
+    want = {tuple(r) for r in retrieval.top_candidates(plain, 3).select("query_id", "candidate_id", "overlap", "rank").collect()}
+    for size in (10**6, 80):
+        monkeypatch.setattr(retrieval, "OWN_BLOCK", size)
+        met = retrieval.earlier_overlaps(index, asked, 3)
+        assert {tuple(r) for r in retrieval.top_candidates(met, 3).select("query_id", "candidate_id", "overlap", "rank").collect()} == want != set()
+    # As few candidates as here are all there is to choose from.
+    pairs = {(r.fragment_id, r.candidate_id) for r in flow.lexical_candidates(x, x.filter("fragment_id = 'f17'")).collect()}
+    assert {a for a, _ in pairs} == {"f17"} and {b for _, b in pairs} <= {f"f{i:02d}" for i in range(1, 15, 2)}
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(features" not in plan
+
+
+def test_only_rows_that_may_be_wanted_are_shuffled(spark):
+    rows, wanted = spark.range(20_000).selectExpr("cast(id as string) as id"), ["0", "77", "19999"]
+    kept = {r.id for r in retrieval.that_may_be(rows, "id", spark.createDataFrame([(i,) for i in wanted], "id string")).collect()}
+    assert kept >= set(wanted) and len(kept) < 100
+    assert retrieval.that_may_be(rows, "id", rows).count() == 20_000 and retrieval.that_may_be(rows, "id", rows.filter("id < 0")).count() == 0
