@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import LOWER, Rolling, WordHashes, byte_rows, discard, mix, stored, texts
-from sluice.llm.substring_dedup import arrays
+from sluice.llm.substring_dedup import arrays, key_bits, with_meets
 
 #: Minwise tokens that a node can choose among.
 BRANCHING = 64
@@ -336,8 +336,12 @@ def links(reps: DataFrame, docs: DataFrame, size: int, threshold: int, *wide: Da
     # Who meets nobody so similar in the first pass does not in the second.
     named = hashes.join(first.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep").select("rep", "th")
     named = stored(named, "named")
-    wanted = docs.withColumnRenamed("doc_id", "rep").join(named, ["rep", "th"]).dropDuplicates(["rep", "th"])
+    # Few texts are named: the others are not shuffled.
+    bits = key_bits(named.select(F.col("rep").alias("doc_id"), "th"))
+    wanted = with_meets(docs, bits).filter("meets").select(F.col("doc_id").alias("rep"), "th", "text")
+    wanted = wanted.join(named, ["rep", "th"]).dropDuplicates(["rep", "th"])
     sets = stored(shingle_sets(wanted, size), "sets")
+    discard(bits)
     met = stored(confirmed(first, sets, threshold), "met")
     closed = components(met)
     label = named.select("rep").distinct().join(closed.withColumnRenamed("node", "rep"), "rep", "left")

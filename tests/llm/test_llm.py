@@ -417,3 +417,12 @@ def test_key_bits_miss_no_key(spark, rows, monkeypatch):
     assert not substring_dedup.with_meets(docs, substring_dedup.key_bits(docs.filter("doc_id < 0"))).filter("meets").count()
     monkeypatch.setattr(substring_dedup, "BITS", 16)
     test_substring_dedup(spark, rows)
+
+
+def test_near_dedup_shuffles_texts_of_similar_documents_only(spark, monkeypatch):
+    plans, sets = [], near_dedup.shingle_sets
+    monkeypatch.setattr(near_dedup, "shingle_sets", lambda docs, size: plans.append(docs._jdf.queryExecution().optimizedPlan().toString()) or sets(docs, size))
+    texts = [" ".join(f"w{i * 100 + k}" for k in range(40)) for i in range(6)]
+    rows = spark.createDataFrame(list(enumerate([*texts, texts[2] + " more"])), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(rows).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 2}
+    assert plans and all("getbit" in p for p in plans)
