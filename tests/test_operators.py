@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import text as T
-from sluice.operators import fragments, lineage, retrieval, storage, tables
+from sluice.operators import fragments, lineage, metrics, retrieval, storage, tables
 from sluice.plans import flows, registry
 from sluice.sources import events
 from sluice.streaming import ingest
@@ -170,3 +170,20 @@ def test_stored_tables_are_small(spark):
     place = spark._jvm.org.apache.hadoop.fs.Path(out.stored_at)
     size = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
     assert size < 0.6 * 64 * 20000 and out.exceptAll(ids).isEmpty()
+
+
+@pytest.mark.parametrize("most", [100, 1])
+def test_values_are_searched_in_one_pass(spark, monkeypatch, most):
+    monkeypatch.setattr(metrics, "MOST_VALUES", most)
+    digest = "2c26b46b68ffc68ff99b453c1d30413413422d706483bfa0f98a5e886266e7ae"  # of foo
+    values = spark.createDataFrame([("a", "foo"), ("b", "foo"), ("a", "o b"), ("a", "foo bar"), ("a", ""), ("b", "none"), ("b", None), ("c", "Straße 😀")], "kind string, value string")
+    reports = spark.createDataFrame([("a foo bar b",), (None,), ("",), ("x" + digest,), ("foo, Straße 😀.",)], "text string")
+    found = metrics.exposures(values, reports)
+    assert {tuple(r) for r in found.collect()} == {("a", 4), ("b", 1), ("c", 1), ("a_hash", 1), ("b_hash", 1)}
+    if most == 100:
+        assert "Contains(text" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_turns_are_prepared_behind_their_join(spark):
+    plan = flows.compared_turns(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
