@@ -68,6 +68,23 @@ def test_a_value_that_many_sinks_send_is_compared_once(spark, monkeypatch):
     assert made["compared"].count() == 2
 
 
+def test_all_chunks_of_a_workspace_are_compared(spark, monkeypatch):
+    """However many and long they are, also where they take several blocks; an empty value is an empty chunk, and holds none."""
+    monkeypatch.setattr(workflow, "TEXT_BLOCK", 60_000, raising=False)
+    monkeypatch.setattr(workflow, "VALUE_BLOCK", 200, raising=False)
+    code = lambda i: f"ZX{i}-4471-QPLM-härbor"
+    long = "lang " * 10_000 + code(9999)
+    values = [f"note {code(1)} and {code(599)}", code(7), f"see {code(600)}", "", long, "x" + long, None]
+    rows = spark.createDataFrame([(w, f"s{i}", 0, "static_values", v) for w in ("w", None) for i, v in enumerate(values)], "workspace_id string, sink_id string, segment_index int, extraction string, value string")
+    known = [("w", f"c{i}", code(i), "registered_source") for i in range(600)] + [("w", "long", long, None), ("w", "empty", "", None), ("v", "other", code(600), None), (None, "none", code(7), None)]
+    found = workflow.payload_evidence(rows, spark.createDataFrame(known, "workspace_id string, chunk_id string, text string, signal string")).collect()
+    inside, same = "resolved_payload_exact_substring", "resolved_payload_exact"
+    of = {r.sink_id: [tuple(m) for m in r.matches] for r in found if r.workspace_id}
+    assert of["s0"] == [("c1", inside), ("c599", inside)] and of["s1"] == [("c7", same)] and of["s3"] == [("empty", same)] and of["s4"] == [("long", same)]
+    assert of["s2"] == of["s6"] == [] and not any(r.matches for r in found if not r.workspace_id)
+    assert {r.comparison_status for r in found if r.sink_id != "s6"} == {"evaluated"}
+
+
 def test_only_texts_that_may_be_content_are_looked_up(spark):
     """Paths, keys and roots of calls are most of a log; they are not joined with versions."""
     made = spark.createDataFrame([(True, "tool_write", ["f1"], "n1"), (True, "tool_write", ["f2"], "n2")], "makes boolean, kind string, fragments array<string>, own_id string")
