@@ -295,6 +295,25 @@ def test_candidates_of_a_workspace_are_counted_in_blocks(spark, monkeypatch):
     assert retrieval.best_overlaps(shared, shared, 6).count() == 0
 
 
+def test_candidates_are_ranked_by_their_texts_where_they_are_read(spark, monkeypatch):
+    """Texts stand for their 5-grams, no row is made for pairs that are not chosen or may not match, and none for the
+    features; ranks are those of all pairs, also of a scope that takes several blocks."""
+    made = [f"the {a} went to the {b} by {c}" for a in ("harbor", "market", "station", "old mill") for b in ("gate", "bridge \U0001f6a2 yard") for c in ("night", "noon", "number two", "number 2", "a%20b")]
+    rows = spark.createDataFrame([(f"f{i:02d}", t, "vw"[i % 9 > 0]) for i, t in enumerate([*made, "gate", "noon", "by night", "mill\U0001f6a2"] * 2)], "id string, text string, scope string")
+    x = canonical.with_prepared(rows, "text").selectExpr("id", "scope", "0 AS sequence_no", "length(prepared.normalized) AS n_chars", "prepared.features AS features", "array(xxhash64(text)) AS keys", "prepared")
+    index = retrieval.features(x, "keys", "prepared")
+    plain = retrieval.overlaps(index, index, forward=False).join(index.selectExpr("id AS query_id", "keys AS a"), "query_id").join(index.selectExpr("id AS candidate_id", "keys AS b"), "candidate_id").filter("a <> b")
+    chosen = retrieval.top_candidates(plain, 7, 4)
+    want = {(r.query_id, r.candidate_id, r.overlap) for r in flow.possible(chosen, x, x).collect()}
+    assert 0 < len(want) < chosen.count()
+    asked = index.select("id", "scope", "n_chars", "n_features", F.element_at("prepared.forms.x", -1).alias("text"), "keys", *flow._marks())
+    for size in (10**6, 200):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", size)
+        monkeypatch.setattr(retrieval, "CANDIDATE_BLOCK", size)
+        found = retrieval.best_overlaps(asked, asked, 7, 4, ("plain", "token_keys"), flow._may_match)
+        assert {(r.query_id, r.candidate_id, r.overlap) for r in found.collect()} == want
+
+
 def test_pairs_left_out_before_the_comparison_match_by_nothing(spark):
     texts = ["send two reports to the harbor", "send 2 reports to the harbor", "ship sequence ten", "ship sequences 10", "a%20b c1234567%2Fx", "a b c1234567/x", "key ZX81-4471-QPLM", "the key ZX81-4471-QPLM is for the gate", "the harbor gate opens at noon", "noon opens at the gate of the harbor", "abcd", "abcd efgh", "never send two reports to the harbor"]
     rows = canonical.with_prepared(spark.createDataFrame([(f"f{i:02d}", t) for i, t in enumerate(texts)], "id string, text string"), "text")
