@@ -1,13 +1,15 @@
 """Events to edges, lineage and decisions on a small log of tool calls, full and incremental."""
 
 import json
+import os
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import canonical
 from sluice.functions.compare import compare, compare_binding
-from sluice.operators import filesystem, flow, fragments, lineage, retrieval, secrets, workflow
+from sluice.operators import filesystem, flow, fragments, lineage, retrieval, secrets, storage, workflow
 from sluice.operators.metrics import parity
 from sluice.operators.storage import stored
 from sluice.plans.flows import told
@@ -157,6 +159,35 @@ def test_incremental_equals_full(spark, long_log, chunks):
     assert incremental.cursors_after(one["cursors"], fragments.normalized_events(log.filter("sequence_no = 4")), "other", "1").first().mode == "rebuild"
 
 
+def test_parts_of_a_batch_that_do_not_wait_go_beside_each_other(spark, long_log, chunks, monkeypatch):
+    both, paths = threading.Barrier(2), []
+
+    def kept(df, name):
+        if name in ("prepared", "contexts"):
+            both.wait(60)
+            raise RuntimeError("both began")
+        paths.append(storage.stored(df, name).stored_at)
+        return spark.read.parquet(paths[-1])
+
+    monkeypatch.setattr(incremental, "stored", kept)
+    with pytest.raises(RuntimeError, match="both began"), storage.scratch(spark):
+        incremental.advance(incremental.empty_state(spark, long_log), long_log, chunks, "d")
+    with storage.scratch(spark):
+        here = storage.stored(spark.range(1)).stored_at
+        there = storage.beside(spark, lambda: storage.stored(spark.range(2)), lambda: storage.stored(spark.range(3)))
+        assert [x.count() for x in there] == [2, 3] and {os.path.dirname(x.stored_at) for x in there} == {os.path.dirname(here)}
+
+
+def test_chunks_that_are_prepared_bind_as_others_do(contexts, chunks, monkeypatch):
+    want = {r.edge_id for r in flow.source_bindings(chunks, contexts).collect()}
+    ready, table = storage.stored(canonical.with_prepared(chunks, "text")), flow.comparable(contexts)
+    some = table.filter("sequence_no in (1, 2, 6)").select("fragment_id")
+    near = {r.edge_id for r in flow.source_bindings(chunks, None, table=table.join(some, "fragment_id", "left_semi")).collect()}
+    assert {r.edge_id for r in flow.source_bindings(chunks, None, table=table, among=some).collect()} == near < want
+    monkeypatch.setattr(flow, "with_prepared", None)
+    assert {r.edge_id for r in flow.source_bindings(ready, None, table=table).collect()} == want != set()
+
+
 def test_a_driver_that_starts_again_goes_on(spark, long_log, chunks, tmp_path):
     """Two drivers, one after the other, over one stream: the second finds what the first committed, and a batch that the
     first began but did not commit is taken anew. Only the buckets of sessions that a batch touches are written."""
